@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import mixing, secrets, sharding
+from quire.llm import mixing, outliers, quality, secrets, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_robust_outliers": outliers.op2_robust_outliers,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op6_toxicity_cnn": toxicity.op6_toxicity_cnn,
+    "op8_ordinal_quality": quality.op8_ordinal_quality,
     "op9_extendible_shards": sharding.op9_extendible_shards,
 }
 
