@@ -6,18 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import mixing, outliers, quality, secrets, sharding, toxicity
+from quire.llm import mixing, outliers, quality, secrets, sharding, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_robust_outliers": outliers.op2_robust_outliers,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_suffix_dedup": substrings.op5_suffix_dedup,
     "op6_toxicity_cnn": toxicity.op6_toxicity_cnn,
+    "op7_fm_index_dedup": substrings.op7_fm_index_dedup,
     "op8_ordinal_quality": quality.op8_ordinal_quality,
     "op9_extendible_shards": sharding.op9_extendible_shards,
 }
 
 SQL: dict[str, str] = {
+    "op7_fm_index_dedup": substrings.OP7_SQL,
     "op1_secret_scan": secrets.OP1_SQL,
     "op4_mix_sources": mixing.OP4_SQL,
     "op9_extendible_shards": sharding.OP9_SQL,
