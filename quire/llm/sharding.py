@@ -40,15 +40,30 @@ def prefix(h, bits: int) -> F.Column:
     return F.shiftright(h, BITS - bits)
 
 
-def _ladder(cells: DataFrame, start: int, end: int, limit: int) -> DataFrame:
-    """(cell, depth, bits, bytes): the bucket of each cell of ``end`` bits, the shortest prefix from ``start`` on that fits.
+def _leaves(cells: DataFrame, start: int, end: int, limit: int) -> DataFrame:
+    """(depth, bits, bytes): the buckets, prefixes from ``start`` bits on that fit while the one a bit shorter doesn't.
 
-    cells: (cell, bytes). Prefixes are summed from the cells. A cell that
-    itself doesn't fit has its own prefix, of ``end`` bits.
+    cells: (cell, bytes) of ``end`` bits. A cell that itself doesn't fit is a
+    bucket of its own. Sums are taken before the shuffle, and each prefix meets
+    its parent only.
     """
-    all_depths = cells.select(F.explode(F.sequence(F.lit(start), F.lit(end))).alias("depth"), "cell", "bytes").withColumn("bits", F.expr(f"shiftright(cell, {end} - depth)"))
-    sums = all_depths.groupBy("depth", "bits").agg(F.sum("bytes").alias("bytes")).where((F.col("bytes") <= limit) | (F.col("depth") == end))
-    return all_depths.drop("bytes").join(sums, ["depth", "bits"]).groupBy("cell").agg(F.min_by(F.struct("depth", "bits", "bytes"), "depth").alias("b")).select("cell", "b.*")
+    sums = cells.select(F.explode(F.sequence(F.lit(start), F.lit(end))).alias("depth"), "cell", "bytes").groupBy("depth", F.expr(f"shiftright(cell, {end} - depth)").alias("bits")).agg(F.sum("bytes").alias("bytes"))
+    sums = store.written(sums, "shard-sums")
+    parent = sums.select((F.col("depth") + 1).alias("depth"), F.col("bits").alias("up"), F.col("bytes").alias("up_bytes"))
+    both = sums.withColumn("up", F.shiftright("bits", 1)).join(parent, ["depth", "up"], "left")
+    return both.where(((F.col("bytes") <= limit) | (F.col("depth") == end)) & ((F.col("depth") == start) | (F.col("up_bytes") > limit))).select("depth", "bits", "bytes")
+
+
+def _dense(leaves: DataFrame, end: int) -> DataFrame:
+    """The bucket of each of the 2**end cells, by spreading every bucket over its cells."""
+    width = F.expr(f"shiftleft(1L, {end} - depth)")
+    return leaves.select(F.explode(F.sequence(F.col("bits") * width, (F.col("bits") + 1) * width - 1)).alias("cell"), "depth", "bits", "bytes")
+
+
+def _sparse(leaves: DataFrame, cells: DataFrame, start: int, end: int) -> DataFrame:
+    """The bucket of each of a few cells, by looking for its prefixes."""
+    prefixes = cells.select("cell", F.explode(F.sequence(F.lit(start), F.lit(end))).alias("depth")).withColumn("bits", F.expr(f"shiftright(cell, {end} - depth)"))
+    return prefixes.join(leaves, ["depth", "bits"]).select("cell", "depth", "bits", "bytes")
 
 
 def assign(rows: DataFrame, limit: int) -> DataFrame:
@@ -65,10 +80,10 @@ def assign(rows: DataFrame, limit: int) -> DataFrame:
     while fine < BITS and (total >> fine) > limit >> 6:
         fine += 1
     cells = rows.groupBy(prefix(F.col("__hash"), fine).alias("cell")).agg(F.sum("__bytes").alias("bytes"))
-    first = store.written(_ladder(cells, 0, fine, limit), "shard-cells")
+    first = store.written(_dense(_leaves(cells, 0, fine, limit), fine), "shard-cells")
     heavy = first.where(F.col("bytes") > limit).select("cell")
     hashes = rows.select("__hash", "__bytes").join(heavy, prefix(F.col("__hash"), fine) == F.col("cell"), "left_semi").groupBy(F.col("__hash").alias("cell")).agg(F.sum("__bytes").alias("bytes"))
-    second = store.written(_ladder(hashes, fine, BITS, limit), "shard-cells")
+    second = store.written(_sparse(_leaves(hashes, fine, BITS, limit), hashes, fine, BITS), "shard-cells")
     first = first.where(F.col("bytes") <= limit).select(F.col("cell").alias("__cell"), F.struct("depth", "bits", "bytes").alias("__b1"))
     second = second.select(F.col("cell").alias("__whole"), F.struct("depth", "bits", "bytes").alias("__b2"))
     both = rows.join(first, prefix(F.col("__hash"), fine) == F.col("__cell"), "left").join(second, F.col("__hash") == F.col("__whole"), "left").withColumn("__b", F.coalesce("__b1", "__b2"))
