@@ -191,7 +191,9 @@ def fit(vectors: DataFrame) -> DataFrame:
     for _ in range(STEPS):
         near = vectors.join(params, "grp").withColumn("bin", F.floor(F.log2(_distance() + 1e-9) * 16).cast("int"))
         sums = [F.sum(f"x{i}").alias(f"t{i}") for i in range(P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"t{i}{j}") for i, j in PAIRS]
-        params = store.written(near.groupBy("grp", "bin").agg(F.count("*").alias("n"), *sums).groupBy("grp").applyInPandas(_concentrate, PARAMS), "mcd")
+        # Written in between, so that partial sums meet by group and bin, not all of a group in one task.
+        bins = store.written(near.groupBy("grp", "bin").agg(F.count("*").alias("n"), *sums), "mcd-bins")
+        params = store.written(bins.groupBy("grp").applyInPandas(_concentrate, PARAMS), "mcd")
     return params
 
 
