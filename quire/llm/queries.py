@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import jaccard, mixing, outliers, quality, secrets, sharding, substrings, toxicity
+from quire.llm import decontamination, jaccard, mixing, outliers, quality, secrets, sharding, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_fm_index_dedup": substrings.op7_fm_index_dedup,
     "op8_ordinal_quality": quality.op8_ordinal_quality,
     "op9_extendible_shards": sharding.op9_extendible_shards,
+    "op10_latent_decontamination": decontamination.op10_latent_decontamination,
 }
 
 SQL: dict[str, str] = {
