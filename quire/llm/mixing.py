@@ -54,7 +54,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     everything = W.partitionBy(F.lit(1))
     before = W.orderBy("stop", F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
     per = per.withColumn("level", (F.sum("source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    level = F.min(F.when(F.col("stop") >= F.col("level"), F.col("level"))).over(everything)
+    # Levels fall after the first source that isn't full, so the largest of those that hold is the first.
+    level = F.max(F.when(F.col("stop") >= F.col("level"), F.col("level"))).over(everything)
     return per.select("source", "source_size", F.least(F.col("cap"), F.col("weight") * F.coalesce(level, F.lit(float("inf")))).alias("target"))
 
 
@@ -91,7 +92,7 @@ weighed AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY encode(sourc
 stops AS (SELECT *, cap / weight AS stop FROM weighed),
 levels AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER b, 0.0::DOUBLE)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0.0::DOUBLE)) AS level
   FROM stops WINDOW b AS (ORDER BY stop, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-goal AS (SELECT source, source_size, least(cap, weight * coalesce(min(CASE WHEN stop >= level THEN level END) OVER (), 'inf'::DOUBLE)) AS target FROM levels),
+goal AS (SELECT source, source_size, least(cap, weight * coalesce(max(CASE WHEN stop >= level THEN level END) OVER (), 'inf'::DOUBLE)) AS target FROM levels),
 rates AS (SELECT s.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0.0::DOUBLE END AS rate
   FROM sizes s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source),
 mixed AS (SELECT *, (floor(rate) + CASE WHEN ('0x' || substr(sha256('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies FROM rates)
