@@ -259,72 +259,96 @@ def products(block: Block) -> tuple[Products, np.ndarray]:
     return Products(dense, np.searchsorted(row, np.arange(len(dense) + 1)), passage, dense[row, passage], rest), block.item[some]
 
 
+def matches(text_column, block: Block, table: Products, item: np.ndarray) -> dict[tuple[int, int], tuple[float, float]]:
+    """(row, item of the block) -> (overlap, cosine) of the leaks in a piece of texts."""
+    d, p = len(block.vocabulary), len(item)
+    listed = np.diff(table.first)
+    h, first = word_hashes(*X.utf8(text_column))
+    k, w = block.lookup(h), block.idf[_bucket(h)].astype(np.float64)
+    hits = np.flatnonzero((k < d) & (w > 0))
+    kh, wh = k[hits], w[hits]
+    sums, rests = np.concatenate([[0.0], np.cumsum(w * w)]), np.concatenate([[0.0], np.cumsum(wh * table.rest[kh])])
+    row, start, end = windows(first)
+    norm = np.sqrt(np.maximum(sums[end] - sums[start], 1e-9))
+    a, b = np.searchsorted(hits, start), np.searchsorted(hits, end)
+    found: dict[tuple[int, int], tuple[float, float]] = {}
+    for lo in range(0, len(row), 2048):
+        hi = min(lo + 2048, len(row))
+        seg, place = X.ragged((b - a)[lo:hi])
+        at = a[lo:hi][seg] + place
+        entry, place = X.ragged(listed[kh[at]])
+        of = table.first[kh[at]][entry] + place
+        score = np.bincount(seg[entry] * p + table.passage[of], table.value[of] * wh[at][entry], minlength=(hi - lo) * p).reshape(-1, p)
+        i, j = np.nonzero(score + (rests[b] - rests[a])[lo:hi, None] >= NEAR * norm[lo:hi, None])
+        for x in np.unique(i).tolist():  # in full, for the few that may be near
+            ks, ws = kh[a[lo + x] : b[lo + x]], wh[a[lo + x] : b[lo + x]]
+            js = j[i == x]
+            cos = (table.dense[np.ix_(ks, js)] * ws[:, None]).sum(0) / norm[lo + x]
+            for y, c in zip(js.tolist(), cos.tolist(), strict=True):
+                t, n = int(row[lo + x]), int(item[y])
+                if c < NEAR or found.get((t, n), (0.0, 0.0))[0] >= STRONG:
+                    continue
+                reach = len(block.words[n])
+                share = leaks(block.words[n], h[max(int(first[t]), int(start[lo + x]) - reach) : min(int(first[t + 1]), int(end[lo + x]) + reach)])
+                if share > found.get((t, n), (0.0, 0.0))[0]:
+                    found[t, n] = (share, c)
+    return found
+
+
 def _searched(batches, key, text, block: Block):
-    d = len(block.vocabulary)
     table, item = products(block)
-    p = len(item)
-    listed = np.diff(table.first)
     for batch in batches:
         for piece in X.pieces(batch, text, X.PIECE // 2):
-            h, first = word_hashes(*X.utf8(piece.column(text)))
-            k, w = block.lookup(h), block.idf[_bucket(h)].astype(np.float64)
-            hits = np.flatnonzero((k < d) & (w > 0))
-            kh, wh = k[hits], w[hits]
-            sums, rests = np.concatenate([[0.0], np.cumsum(w * w)]), np.concatenate([[0.0], np.cumsum(wh * table.rest[kh])])
-            row, start, end = windows(first)
-            norm = np.sqrt(np.maximum(sums[end] - sums[start], 1e-9))
-            a, b = np.searchsorted(hits, start), np.searchsorted(hits, end)
-            found: dict[tuple[int, int], tuple[float, float]] = {}
-            for lo in range(0, len(row), 2048):
-                hi = min(lo + 2048, len(row))
-                seg, place = X.ragged((b - a)[lo:hi])
-                at = a[lo:hi][seg] + place
-                entry, place = X.ragged(listed[kh[at]])
-                of = table.first[kh[at]][entry] + place
-                score = np.bincount(seg[entry] * p + table.passage[of], table.value[of] * wh[at][entry], minlength=(hi - lo) * p).reshape(-1, p)
-                may = score + (rests[b] - rests[a])[lo:hi, None] >= NEAR * norm[lo:hi, None]
-                i, j = np.nonzero(may)
-                for x in np.unique(i).tolist():  # in full, for the few that may be near
-                    ks, ws = kh[a[lo + x] : b[lo + x]], wh[a[lo + x] : b[lo + x]]
-                    js = j[i == x]
-                    cos = (table.dense[np.ix_(ks, js)] * ws[:, None]).sum(0) / norm[lo + x]
-                    for y, c in zip(js.tolist(), cos.tolist(), strict=True):
-                        t, n = int(row[lo + x]), int(item[y])
-                        if c < NEAR or found.get((t, n), (0.0, 0.0))[0] >= STRONG:
-                            continue
-                        reach = len(block.words[n])
-                        share = leaks(block.words[n], h[max(int(first[t]), int(start[lo + x]) - reach) : min(int(first[t + 1]), int(end[lo + x]) + reach)])
-                        if share > found.get((t, n), (0.0, 0.0))[0]:
-                            found[t, n] = (share, c)
+            found = matches(piece.column(text), block, table, item)
             pairs = sorted(found)
             if pairs:
                 ids = piece.column(key).take(pa.array([t for t, _ in pairs], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([block.ids[n] for _, n in pairs], pa.int64()), pa.array([round(found[x][0], 6) for x in pairs]), pa.array([round(found[x][1], 4) for x in pairs])], ["doc_id", "item_id", "overlap", "cosine"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", rank: int = RANK) -> DataFrame:
-    """(doc_id, item_id, overlap, cosine): a row for each document (row) and item that it leaks."""
-    spark = docs.sparkSession
-    schema = f"doc_id {dict(docs.dtypes)[key]}, item_id bigint, overlap double, cosine double"
-    out = spark.createDataFrame([], schema)
+def _cleaned(batches, text, block: Block):
+    table, item = products(block)
+    for batch in batches:
+        for piece in X.pieces(batch, text, X.PIECE // 2):
+            keep = np.ones(piece.num_rows, bool)
+            keep[[t for t, _ in matches(piece.column(text), block, table, item)]] = False
+            yield piece.filter(pa.array(keep))
+
+
+def blocks_of(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, rank: int):
+    """The benchmark's blocks, each with its latent space, one after the other."""
     items = benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t"))
     n = items.count()
     if not n or not docs.limit(1).count():
-        return out
+        return
     idf = idf_table(docs, text)
-    blocks = -(-n // BLOCK)
-    dealt = items.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
-    for b in range(blocks):
+    count = -(-n // BLOCK)
+    dealt = items.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(count)))
+    for b in range(count):
         rows = sorted(((r["i"], r["t"]) for r in dealt.where(F.col("b") == b).collect()), key=lambda x: (x[0] is None, x[0], x[1] or ""))
         block = make_block(rows, idf)
         fit_basis(docs, block, text, rank)
-        if block.basis is None:
-            continue
-        sent = spark.sparkContext.broadcast(block)
+        if block.basis is not None:
+            yield docs.sparkSession.sparkContext.broadcast(block)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", rank: int = RANK) -> DataFrame:
+    """(doc_id, item_id, overlap, cosine): a row for each document (row) and item that it leaks."""
+    schema = f"doc_id {dict(docs.dtypes)[key]}, item_id bigint, overlap double, cosine double"
+    out = docs.sparkSession.createDataFrame([], schema)
+    for sent in blocks_of(docs, benchmark, text, item, item_text, rank):
         out = out.unionByName(docs.select(F.col(key), F.col(text)).mapInArrow(lambda bs, s=sent: _searched(bs, key, text, s.value), schema))
     return out
 
 
+def cleaned(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", rank: int = RANK) -> DataFrame:
+    """The rows of docs that leak no item, in one pass for each block and without a shuffle."""
+    out = docs
+    for sent in blocks_of(docs, benchmark, text, item, item_text, rank):
+        out = out.mapInArrow(lambda bs, s=sent: _cleaned(bs, text, s.value), docs.schema)
+    return out
+
+
 def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id, overlap, cosine) of every leak."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -142,7 +142,7 @@ def _answer(table: pa.Table) -> pa.Table:
     return repeats._table(rows, ["slice", "names"], [pa.int64(), pa.binary()])
 
 
-MEMBERS = "doc_id bigint, n_shingles bigint, grp bigint, whole bigint, shared array<struct<token:bigint,pos:int>>, cells binary, items binary"
+MEMBERS = "doc_id bigint, text_hash bigint, n_shingles bigint, grp bigint, whole bigint, shared array<struct<token:bigint,pos:int>>, cells binary, items binary"
 
 
 def _members(docs: pa.Table, answers: pa.Table, rank) -> pa.Table:
@@ -174,7 +174,7 @@ def _members(docs: pa.Table, answers: pa.Table, rank) -> pa.Table:
         else:
             cells.append(None)
             items.append(None)
-    return pa.table([ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids, pa.array(s.size, pa.int64()), pa.array(s.group.view(np.int64)), pa.array(s.whole.view(np.int64)), shared, pa.array(cells, pa.binary()), pa.array(items, pa.binary())], ["doc_id", "n_shingles", "grp", "whole", "shared", "cells", "items"])
+    return pa.table([ids, docs.column("text_hash"), pa.array(s.size, pa.int64()), pa.array(s.group.view(np.int64)), pa.array(s.whole.view(np.int64)), shared, pa.array(cells, pa.binary()), pa.array(items, pa.binary())], ["doc_id", "text_hash", "n_shingles", "grp", "whole", "shared", "cells", "items"])
 
 
 def _enough(a: F.Column, b: F.Column, most: F.Column) -> F.Column:
@@ -235,7 +235,7 @@ def members(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     slices, groups = max(1, -(-total // SLICE)), max(1, -(-total // NAMES))
     rank = spark.sparkContext.broadcast(ranks(docs, text))
     own = F.pmod(F.when(F.col(key).isNull(), F.xxhash64(F.lit("null"), F.col(text))).otherwise(F.xxhash64(F.col(key))), F.lit(slices))
-    rows = docs.select(own.alias("slice"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(own.alias("slice"), F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
     asked = rows.groupBy("slice").applyInArrow(lambda t: _ask(t, rank, groups), "grp bigint, slice bigint, names binary, often binary")
     answers = asked.groupBy("grp").applyInArrow(_answer, "slice bigint, names binary")
     out = rows.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(lambda a, b: _members(a, b, rank), MEMBERS)
@@ -274,18 +274,40 @@ def links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes, comps
 
 
+def _classes(rows: DataFrame) -> DataFrame:
+    """(cid, comp): the component of every class."""
+    _, comps = links(rows)
+    per = rows.where(F.col("cid").isNotNull()).select("cid").distinct()
+    return per.join(comps.withColumnRenamed("u", "cid"), "cid", "left").select("cid", F.coalesce("m", "cid").alias("comp"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, cid, component_id) of every row: its class and the least id that is reachable by links."""
     rows = members(docs, key, text)
-    _, comps = links(rows)
-    per = rows.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("low"))
-    per = per.join(comps.withColumnRenamed("u", "cid"), "cid", "left").withColumn("comp", F.coalesce("m", "cid"))
-    lows = per.groupBy("comp").agg(F.min("low").alias("component_id"))
-    per = store.written(per.join(lows, "comp").select("cid", "component_id"), "class-components")
+    lows = rows.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("low"))
+    per = lows.join(_classes(rows), "cid")
+    per = store.written(per.join(per.groupBy("comp").agg(F.min("low").alias("component_id")), "comp").select("cid", "component_id"), "class-components")
     out = rows.select("doc_id", "n_shingles", "cid").join(per, "cid", "left")
     return out.select("doc_id", "n_shingles", "cid", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs without near duplicates: of each component the one with the least id stays.
+
+    Ids may repeat: a row is told by its id and its text, and of rows that agree
+    in both one stays. Rows without words are no copies of each other and stay.
+    """
+    rows = members(docs, key, text)
+    best = rows.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("b"))
+    stay = best.join(_classes(rows), "cid").groupBy("comp").agg(F.min("b").alias("b")).select(F.col("b.doc_id").alias("__id"), F.col("b.text_hash").alias("__hash"))
+    stay = store.written(stay, "stay")
+    has = F.coalesce(F.col(text).rlike("[^ \\t\\n\\x0B\\f\\r]"), F.lit(False))
+    told = docs.withColumn("__text", F.xxhash64(F.col(text)))
+    kept = told.where(has).join(stay, F.col(key).cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")), "left_semi")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return kept.dropDuplicates([key, "__text"]).select(*names).unionByName(docs.where(~has))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
