@@ -1 +1 @@
-"""See the modules."""
+"""Column functions: text tests and rewrites, integer geometry, identities."""

@@ -1,10 +1,14 @@
-"""All queries by name. Each takes (spark, sf_dir); SQL holds the twin for DuckDB."""
+"""All queries by name, and their SQL. Importing the modules registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
-from pyspark.sql import DataFrame, SparkSession
+from quire.plans.registry import QUERIES, SQL
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+MODULES = ("text_queries", "layout_queries")
+
+for _m in MODULES:
+    importlib.import_module(f"quire.plans.{_m}")
+
+__all__ = ["QUERIES", "SQL"]
