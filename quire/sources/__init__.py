@@ -1 +1 @@
-"""See the modules."""
+"""Readers: files to rows of text nodes with native addresses."""
