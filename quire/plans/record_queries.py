@@ -222,7 +222,7 @@ def block_offsets(spark, sf_dir):
     return _members(spark, sf_dir)
 
 
-@query(_RUNS + ", ids AS (SELECT doc_id, 3 AS ord FROM documents) SELECT ids.doc_id, ids.ord, text, runs.doc_id IS NOT NULL AS found FROM ids LEFT JOIN runs ON runs.doc_id = ids.doc_id AND runs.ord = ids.ord")
+@query(_RUNS + ", ids AS (SELECT doc_id, 3::BIGINT AS ord FROM documents) SELECT ids.doc_id, ids.ord, text, runs.doc_id IS NOT NULL AS found FROM ids LEFT JOIN runs ON runs.doc_id = ids.doc_id AND runs.ord = ids.ord")
 def node_get(spark, sf_dir):
     ids = V.table(spark, sf_dir, "documents").select("doc_id", F.lit(3).cast("bigint").alias("ord"))
     return S.node_get(V.runs(spark, sf_dir).select("doc_id", "ord", "text"), ids)
