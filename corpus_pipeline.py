@@ -17,7 +17,7 @@ from quire.llm import decontamination, jaccard, mixing, quality, sharding, store
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose tail probability of the upper grades reaches quality.KEEP."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.judged(docs, model).where(F.col("__kept")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return quality.judged(docs, model).where(F.col("__quire_kept")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,10 +72,10 @@ def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: str = SEED, **how) -> DataFrame:
     """The rows of docs, each as often as the plan says; columns and their order stay."""
     sizes = docs.select(F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
-    goal = targets(sizes, **how).select(F.col("source").alias("__source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("__rate"))
-    both = docs.join(goal, F.col(source).eqNullSafe(F.col("__source")), "left")
-    copies = F.floor("__rate") + (draw(F.col(key), seed) < F.col("__rate") - F.floor("__rate")).cast("long")
-    both = both.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
+    goal = targets(sizes, **how).select(F.col("source").alias("__quire_source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("__quire_rate"))
+    both = docs.join(goal, F.col(source).eqNullSafe(F.col("__quire_source")), "left")
+    copies = F.floor("__quire_rate") + (draw(F.col(key), seed) < F.col("__quire_rate") - F.floor("__quire_rate")).cast("long")
+    both = both.withColumn("__quire_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
     return both.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -188,8 +188,8 @@ def judged(docs: DataFrame, model: Model | None, text: str = "text", keep: list[
     keep = keep or docs.columns
     needed = list(dict.fromkeys([*keep, text]))
     kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "__grade double, __tail double, __kept boolean"])
-    names = [*keep, "__grade", "__tail", "__kept"]
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "__quire_grade double, __quire_tail double, __quire_kept boolean"])
+    names = [*keep, "__quire_grade", "__quire_tail", "__quire_kept"]
     return docs.select(*(f"`{k}`" for k in needed)).mapInArrow(lambda b: judge_batches(b, keep, text, model, names), schema)
 
 
@@ -197,4 +197,4 @@ def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, expected_grade, tail_prob, kept) of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged(docs, model, keep=["doc_id"]).select("doc_id", F.col("__grade").alias("expected_grade"), F.col("__tail").alias("tail_prob"), F.col("__kept").alias("kept"))
+    return judged(docs, model, keep=["doc_id"]).select("doc_id", F.col("__quire_grade").alias("expected_grade"), F.col("__quire_tail").alias("tail_prob"), F.col("__quire_kept").alias("kept"))

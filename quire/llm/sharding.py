@@ -74,33 +74,33 @@ def assign(rows: DataFrame, limit: int) -> DataFrame:
     hashes, taken whole, are the cells of a second ladder.
     """
     names = rows.columns
-    rows = store.written(rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(256))), "shard-rows")
-    total = rows.agg(F.sum("__bytes")).first()[0] or 0
+    rows = store.written(rows.withColumn("__quire_salt", F.pmod(F.monotonically_increasing_id(), F.lit(256))), "shard-rows")
+    total = rows.agg(F.sum("__quire_bytes")).first()[0] or 0
     fine = 1
     while fine < BITS and (total >> fine) > limit >> 6:
         fine += 1
-    cells = rows.groupBy(prefix(F.col("__hash"), fine).alias("cell")).agg(F.sum("__bytes").alias("bytes"))
+    cells = rows.groupBy(prefix(F.col("__quire_hash"), fine).alias("cell")).agg(F.sum("__quire_bytes").alias("bytes"))
     first = store.written(_dense(_leaves(cells, 0, fine, limit), fine), "shard-cells")
     heavy = first.where(F.col("bytes") > limit).select("cell")
-    hashes = rows.select("__hash", "__bytes").join(heavy, prefix(F.col("__hash"), fine) == F.col("cell"), "left_semi").groupBy(F.col("__hash").alias("cell")).agg(F.sum("__bytes").alias("bytes"))
+    hashes = rows.select("__quire_hash", "__quire_bytes").join(heavy, prefix(F.col("__quire_hash"), fine) == F.col("cell"), "left_semi").groupBy(F.col("__quire_hash").alias("cell")).agg(F.sum("__quire_bytes").alias("bytes"))
     second = store.written(_sparse(_leaves(hashes, fine, BITS, limit), hashes, fine, BITS), "shard-cells")
-    first = first.where(F.col("bytes") <= limit).select(F.col("cell").alias("__cell"), F.struct("depth", "bits", "bytes").alias("__b1"))
-    second = second.select(F.col("cell").alias("__whole"), F.struct("depth", "bits", "bytes").alias("__b2"))
-    both = rows.join(first, prefix(F.col("__hash"), fine) == F.col("__cell"), "left").join(second, F.col("__hash") == F.col("__whole"), "left").withColumn("__b", F.coalesce("__b1", "__b2"))
-    name = F.concat_ws("-", F.lpad(F.col("__b.depth").cast("string"), 2, "0"), F.lpad(F.lower(F.hex("__b.bits")), BITS // 4, "0"))
+    first = first.where(F.col("bytes") <= limit).select(F.col("cell").alias("__quire_cell"), F.struct("depth", "bits", "bytes").alias("__quire_b1"))
+    second = second.select(F.col("cell").alias("__quire_whole"), F.struct("depth", "bits", "bytes").alias("__quire_b2"))
+    both = rows.join(first, prefix(F.col("__quire_hash"), fine) == F.col("__quire_cell"), "left").join(second, F.col("__quire_hash") == F.col("__quire_whole"), "left").withColumn("__quire_b", F.coalesce("__quire_b1", "__quire_b2"))
+    name = F.concat_ws("-", F.lpad(F.col("__quire_b.depth").cast("string"), 2, "0"), F.lpad(F.lower(F.hex("__quire_b.bits")), BITS // 4, "0"))
     keep = [F.col(f"`{c}`") for c in names]
-    fits = both.where(F.col("__b.bytes") <= limit).select(*keep, F.col("__b.depth").alias("depth"), name.alias("shard_id"), F.col("__b.bytes").alias("shard_bytes"), F.lit(False).alias("oversize"))
+    fits = both.where(F.col("__quire_b.bytes") <= limit).select(*keep, F.col("__quire_b.depth").alias("depth"), name.alias("shard_id"), F.col("__quire_b.bytes").alias("shard_bytes"), F.lit(False).alias("oversize"))
     # What shares a whole hash: salted runs, so that none holds all of a hot id, and pages of so many rows as fit at the run's largest size.
-    run = W.partitionBy("__hash", "__salt")
-    each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.max("__bytes").over(run), F.lit(1))))
-    over = both.where(F.col("__b.bytes") > limit).withColumn("__each", each).withColumn("__page", F.floor((F.row_number().over(run.orderBy("__bytes")) - 1) / F.col("__each")))
-    size = F.sum("__bytes").over(W.partitionBy("__hash", "__salt", "__page"))
-    over = over.select(*keep, F.col("__b.depth").alias("depth"), F.concat_ws("-", name, F.col("__salt").cast("string"), F.col("__page").cast("string")).alias("shard_id"), size.alias("shard_bytes"), (F.col("__bytes") > limit).alias("oversize"))
+    run = W.partitionBy("__quire_hash", "__quire_salt")
+    each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.max("__quire_bytes").over(run), F.lit(1))))
+    over = both.where(F.col("__quire_b.bytes") > limit).withColumn("__quire_each", each).withColumn("__quire_page", F.floor((F.row_number().over(run.orderBy("__quire_bytes")) - 1) / F.col("__quire_each")))
+    size = F.sum("__quire_bytes").over(W.partitionBy("__quire_hash", "__quire_salt", "__quire_page"))
+    over = over.select(*keep, F.col("__quire_b.depth").alias("depth"), F.concat_ws("-", name, F.col("__quire_salt").cast("string"), F.col("__quire_page").cast("string")).alias("shard_id"), size.alias("shard_bytes"), (F.col("__quire_bytes") > limit).alias("oversize"))
     return fits.unionByName(over)
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.withColumn("__hash", hash_bits(F.col(f"`{key}`"))).withColumn("__bytes", F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long"))
+    return docs.withColumn("__quire_hash", hash_bits(F.col(f"`{key}`"))).withColumn("__quire_bytes", F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long"))
 
 
 def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
@@ -112,7 +112,7 @@ def op9_extendible_shards(spark: SparkSession, sf_dir: str, limit: int = OP9_LIM
     """(doc_id, n_bytes, depth, shard_id, shard_bytes, oversize) of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rows = _keyed(docs, "doc_id", "text").drop("text")
-    return assign(rows, limit).select("doc_id", F.col("__bytes").alias("n_bytes"), F.col("depth").cast("int").alias("depth"), "shard_id", "shard_bytes", "oversize")
+    return assign(rows, limit).select("doc_id", F.col("__quire_bytes").alias("n_bytes"), F.col("depth").cast("int").alias("depth"), "shard_id", "shard_bytes", "oversize")
 
 
 #: Level by level: a bucket over the limit gives its rows to the next bit. {docs}: the relation that is sharded; ids must not repeat.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,3 +36,14 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of jobs whose results are written and whose frames are gone.
+
+    They go when the driver collects its garbage, which it may not do for long;
+    a job of several phases asks for it between them, so that disks hold the
+    files of one phase.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
