@@ -124,7 +124,7 @@ def test_one_of_each(spark, awkward, nothing):
     assert kept.columns == awkward.columns
     texts = [r["text"] for r in kept.collect()]
     assert sum(t is None or not t.strip() for t in texts) == 3  # no words: they stay
-    assert len([t for t in texts if t and t.startswith("alpha")]) == 1 + 1  # one of the copies, and the long one if apart
+    assert len([t for t in texts if t and t.startswith("alpha")]) == 1  # the long one goes round, and so shares 15 of 19 shingles
     assert jaccard.near_duplicates(nothing).count() == 0 and jaccard.one_of_each(nothing).count() == 0
 
 
