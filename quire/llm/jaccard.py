@@ -13,9 +13,13 @@ each shingle and group, every pair whose members are still in different
 components. A pair that is never compared is one whose members are connected
 already, so no component loses a link.
 
-The order comes from a table of fixed size (COUNTERS) in which all shingles of
-all documents are counted; it only ranks them, any order gives the same
-result. Only prefix shingles that occur twice leave their slice.
+The order puts shingles that more than RARE documents have behind all others,
+so that a passage with many readers is no reason to compare them. For that
+every slice sends a short fingerprint of each of its shingles, which are
+counted over all documents; the frequent ones come back. A fingerprint is a
+function of the shingle, so all documents sort alike even where two shingles
+share one. Of the shingles themselves only those of prefixes are sent, and only
+those that occur twice are posted.
 
 Documents without words or text have no set, link with nothing and are their
 own component. Those under five words have one shingle, the whole. Repeated
@@ -36,9 +40,12 @@ from quire.llm import text as X
 SPAN = 5
 #: Links need 100 * intersection >= SIMILAR * union.
 SIMILAR = 75
-COUNTERS = 1 << 18
+#: Documents beyond which a shingle is frequent.
+RARE = 48
+#: Leaders that a group is compared with in the first round.
+LEADERS = 2
 #: Buckets of a set's counts, from which an intersection is bounded before sets are sent.
-CELLS = 128
+CELLS = 512
 
 SLICE, NAMES = 1 << 20, 8 << 20
 
@@ -55,42 +62,60 @@ def shingles(buf: np.ndarray, off: np.ndarray, span: int = SPAN) -> tuple[np.nda
     return row, X.range_hash(sums, at, np.minimum(at + span, first[1:][row]))
 
 
-def _count(batches, text, counters):
-    counts = np.zeros(counters, np.int64)
-    for batch in batches:
-        for piece in X.pieces(batch, text):
-            _, h = shingles(*X.utf8(piece.column(text)))
-            counts += np.bincount((h >> np.uint64(64 - int(counters).bit_length() + 1)).astype(np.int64), minlength=counters)
-    parts = counts.astype(np.int64).reshape(16, -1)
-    yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "counts"])
+def _pack(sorted_values: np.ndarray) -> bytes:
+    """Sorted 32-bit values as differences, byte by byte, which compress well."""
+    return np.diff(sorted_values, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def _added(batches):
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, v in zip(batch.column("part").to_pylist(), batch.column("counts"), strict=True):
-            x = np.frombuffer(v.as_py(), np.int64)
-            sums[k] = sums[k] + x if k in sums else x
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["part", "counts"])
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(packed, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.uint32)
+
+
+def _fingerprint(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(32)).astype(np.uint32)
+
+
+def _seen(table: pa.Table, groups: int) -> pa.Table:
+    """Fingerprints of all shingles of a slice, each with its number of documents there."""
+    own = int(table.column("slice")[0].as_py())
+    row, h = shingles(*X.utf8(table.column("text")))
+    pair = np.unique((_fingerprint(h).astype(np.uint64) << np.uint64(32)) | row.astype(np.uint64))
+    prints, often = np.unique((pair >> np.uint64(32)).astype(np.uint32), return_counts=True)
+    often = np.minimum(often, 255).astype(np.uint8)
+    part = (prints.astype(np.uint64) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
+    edge = np.searchsorted(part, np.arange(groups + 1))
+    rows = [(k, own, _pack(prints[a:b]), often[a:b].tobytes()) for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
+    return repeats._table(rows, ["grp", "slice", "prints", "often"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+
+
+def _frequent(table: pa.Table) -> pa.Table:
+    """For each slice those of its fingerprints that more than RARE documents have."""
+    prints = [_unpack(x.as_py()) for x in table.column("prints")]
+    often = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("often")])
+    u, inv = np.unique(np.concatenate(prints), return_inverse=True)
+    many = (np.bincount(inv, often.astype(np.float64), len(u)) > RARE)[inv]
+    rows, at = [], 0
+    for own, p in zip(table.column("slice").to_pylist(), prints, strict=True):
+        if many[at : at + len(p)].any():
+            rows.append((own, _pack(p[many[at : at + len(p)]])))
+        at += len(p)
+    return repeats._table(rows, ["slice", "often"], [pa.int64(), pa.binary()])
 
 
-def ranks(docs: DataFrame, text: str = "text", counters: int = COUNTERS) -> np.ndarray:
-    """The rank class of each hash bucket: how often it occurs in all documents, as a power of two. A table of fixed size."""
-    made = docs.select(text).mapInArrow(lambda b: _count(b, text, counters), "part int, counts binary")
-    got = made.repartition(16, "part").mapInArrow(_added, "part int, counts binary").collect()
-    out = np.zeros((16, counters // 16), np.int64)
-    for k, v in got:
-        out[k] += np.frombuffer(bytes(v), np.int64)
-    return np.frexp(out.reshape(-1).astype(np.float64))[1].astype(np.uint8)
+def _often(table: pa.Table) -> np.ndarray:
+    """The frequent fingerprints that were sent to a slice, in order."""
+    parts = [_unpack(x.as_py()) for x in table.column("often") if x.as_py() is not None]
+    return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint32)
 
 
 class Sets:
     """Of each document of a piece: the ordered set, its prefix, and what names group and class."""
 
-    def __init__(self, buf: np.ndarray, off: np.ndarray, rank: np.ndarray):
+    def __init__(self, buf: np.ndarray, off: np.ndarray, often: np.ndarray):
         row, h = shingles(buf, off)
-        bits = np.uint64(64 - int(len(rank)).bit_length() + 1)
-        key = (rank[(h >> bits).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (X.mix(h) >> np.uint64(6))
+        prints = _fingerprint(h)
+        late = often[np.minimum(np.searchsorted(often, prints), len(often) - 1)] == prints if len(often) else np.zeros(len(h), bool)
+        key = (late.astype(np.uint64) << np.uint64(63)) | (X.mix(h) >> np.uint64(1))
         order = np.lexsort((key, row))
         row, key = row[order], key[order]
         new = np.ones(len(row), bool)
@@ -111,9 +136,14 @@ class Sets:
         return row, place, self.key[self.first[:-1][row] + place]
 
 
-def _ask(table: pa.Table, rank, groups: int) -> pa.Table:
+_ASK = ["grp", "slice", "names", "often"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+
+
+def _ask(table: pa.Table, often: pa.Table, groups: int) -> pa.Table:
+    if not table.num_rows:
+        return repeats._table([], *_ASK)
     own = int(table.column("slice")[0].as_py())
-    s = Sets(*X.utf8(table.column("text")), rank.value)
+    s = Sets(*X.utf8(table.column("text")), _often(often))
     row, _, key = s.prefixes()
     order = np.lexsort((s.group[row], key))
     key, group = key[order], s.group[row][order]
@@ -126,7 +156,7 @@ def _ask(table: pa.Table, rank, groups: int) -> pa.Table:
     often = (1 + (np.add.reduceat(differ.astype(np.int64), at) > 0)).astype(np.uint8) if len(at) else np.zeros(0, np.uint8)
     order, cuts = repeats._cuts(repeats._deal(names, groups))
     rows = [(k, own, names[order[a:b]].tobytes(), often[order[a:b]].tobytes()) for k, a, b in cuts]
-    return repeats._table(rows, ["grp", "slice", "names", "often"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+    return repeats._table(rows, *_ASK)
 
 
 def _answer(table: pa.Table) -> pa.Table:
@@ -142,15 +172,16 @@ def _answer(table: pa.Table) -> pa.Table:
     return repeats._table(rows, ["slice", "names"], [pa.int64(), pa.binary()])
 
 
-MEMBERS = "doc_id bigint, text_hash bigint, n_shingles bigint, grp bigint, whole bigint, shared array<struct<token:bigint,pos:int>>, cells binary, items binary"
+MEMBERS = "doc_id bigint, text_hash bigint, n_shingles bigint, grp bigint, whole bigint, shared array<struct<token:bigint,pos:int>>, cells binary"
 
 
-def _members(docs: pa.Table, answers: pa.Table, rank) -> pa.Table:
-    """A row for each document; its set only where it shares a prefix shingle with another, and no equal set of the slice came before."""
+def _members(docs: pa.Table, told: pa.Table) -> pa.Table:
+    """A row for each document; counts by cell only where it shares a prefix shingle with another, and no equal set of the slice came before."""
     ids = docs.column("doc_id")
-    s = Sets(*X.utf8(docs.column("text")), rank.value)
+    s = Sets(*X.utf8(docs.column("text")), _often(told))
     n = len(s.size)
-    names = np.sort(repeats._packed(answers.column("names"), np.uint64)[0]) if answers.num_rows else np.zeros(0, np.uint64)
+    names = [np.frombuffer(x.as_py(), np.uint64) for x in told.column("names") if x.as_py() is not None]
+    names = np.sort(np.concatenate(names)) if names else np.zeros(0, np.uint64)
     row, place, key = s.prefixes()
     if len(names):
         hit = names[np.minimum(np.searchsorted(names, key), len(names) - 1)] == key
@@ -164,17 +195,15 @@ def _members(docs: pa.Table, answers: pa.Table, rank) -> pa.Table:
     counts = np.bincount(row, minlength=n)
     tokens = pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array(place, pa.int32())], ["token", "pos"])
     shared = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), tokens)
-    cells, items = [], []
+    cells = []
     cell = (s.key & np.uint64(CELLS - 1)).astype(np.int64)
     for i in range(n):
         if counts[i]:
             a, b = s.first[i], s.first[i + 1]
-            cells.append(np.minimum(np.bincount(cell[a:b], minlength=CELLS), 65535).astype(np.uint16).tobytes())
-            items.append(np.sort(s.key[a:b]).tobytes())
+            cells.append(np.minimum(np.bincount(cell[a:b], minlength=CELLS), 255).astype(np.uint8).tobytes())
         else:
             cells.append(None)
-            items.append(None)
-    return pa.table([ids, docs.column("text_hash"), pa.array(s.size, pa.int64()), pa.array(s.group.view(np.int64)), pa.array(s.whole.view(np.int64)), shared, pa.array(cells, pa.binary()), pa.array(items, pa.binary())], ["doc_id", "text_hash", "n_shingles", "grp", "whole", "shared", "cells", "items"])
+    return pa.table([ids, docs.column("text_hash"), pa.array(s.size, pa.int64()), pa.array(s.group.view(np.int64)), pa.array(s.whole.view(np.int64)), shared, pa.array(cells, pa.binary())], ["doc_id", "text_hash", "n_shingles", "grp", "whole", "shared", "cells"])
 
 
 def _enough(a: F.Column, b: F.Column, most: F.Column) -> F.Column:
@@ -187,9 +216,9 @@ def _bounded(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, CELLS).astype(np.int64) for c in ("cells_a", "cells_b"))
-        full = (x == 65535) | (y == 65535)
-        most = np.where(full, np.maximum(x, y) * 1000, np.minimum(x, y)).sum(1)
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int64) for c in ("cells_a", "cells_b"))
+        full = (x == 255) & (y == 255)  # the counts end there, the cells may not
+        most = np.where(full, 1 << 40, np.minimum(x, y)).sum(1)
         n = np.asarray(batch.column("n_a")) + np.asarray(batch.column("n_b"))
         yield batch.filter(pa.array((100 + SIMILAR) * most >= SIMILAR * n)).select(["a", "b"])
 
@@ -207,16 +236,33 @@ def _verified(batches):
         yield batch.filter(pa.array(out)).select(["a", "b"])
 
 
-def verify(pairs: DataFrame, classes: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) of classes that link. Counts by cell go first; sets follow for the pairs that remain."""
+def _sets(batches):
+    for batch in batches:
+        for piece in X.pieces(batch):
+            s = Sets(*X.utf8(piece.column("text")), np.zeros(0, np.uint32))
+            items = [s.key[a:b].tobytes() for a, b in zip(s.first[:-1], s.first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([piece.column("cid"), pa.array(items, pa.binary())], ["cid", "items"])
+
+
+def _side(classes: DataFrame, x: str, *columns: str) -> DataFrame:
+    return classes.select(F.col("cid").alias(x), *(F.col(c).alias(f"{'n' if c == 'n_shingles' else c}_{x}") for c in columns))
+
 
-    def side(x, *columns):
-        return classes.select(F.col("cid").alias(x), *(F.col(c).alias(f"{c[0] if c == 'n_shingles' else c}_{x}") for c in columns))
+def bounded(pairs: DataFrame, classes: DataFrame, name: str) -> DataFrame:
+    """The distinct pairs (a, b) of classes that may link, by their counts by cell."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    near = pairs.join(_side(classes, "a", "n_shingles", "cells"), "a").join(_side(classes, "b", "n_shingles", "cells"), "b")
+    near = store.written(near.mapInArrow(_bounded, "a bigint, b bigint"), f"{name}-near")
+    store.release(classes.sparkSession)
+    return near
 
-    pairs = store.written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), f"{name}-pairs")
-    near = pairs.join(side("a", "n_shingles", "cells"), "a").join(side("b", "n_shingles", "cells"), "b").mapInArrow(_bounded, "a bigint, b bigint")
-    near = store.written(near, f"{name}-near")
-    return store.written(near.join(side("a", "items"), "a").join(side("b", "items"), "b").select("a", "b", "items_a", "items_b").mapInArrow(_verified, "a bigint, b bigint"), f"{name}-links")
+
+def verified(near: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """The pairs that link, by their sets."""
+    both = near.join(_side(sets, "a", "items"), "a").join(_side(sets, "b", "items"), "b").select("a", "b", "items_a", "items_b")
+    found = store.written(both.mapInArrow(_verified, "a bigint, b bigint"), f"{name}-links")
+    store.release(sets.sparkSession)
+    return found
 
 
 def _fit(n1, n2) -> F.Column:
@@ -230,62 +276,89 @@ def _placed(n1, p1, n2, p2) -> F.Column:
 
 def members(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """MEMBERS with cid, the name of its class, written to the shared folder."""
-    spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
     slices, groups = max(1, -(-total // SLICE)), max(1, -(-total // NAMES))
-    rank = spark.sparkContext.broadcast(ranks(docs, text))
     own = F.pmod(F.when(F.col(key).isNull(), F.xxhash64(F.lit("null"), F.col(text))).otherwise(F.xxhash64(F.col(key))), F.lit(slices))
     rows = docs.select(own.alias("slice"), F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
-    asked = rows.groupBy("slice").applyInArrow(lambda t: _ask(t, rank, groups), "grp bigint, slice bigint, names binary, often binary")
+    seen = rows.groupBy("slice").applyInArrow(lambda t: _seen(t, groups), "grp bigint, slice bigint, prints binary, often binary")
+    often = seen.groupBy("grp").applyInArrow(_frequent, "slice bigint, often binary")
+    asked = rows.groupBy("slice").cogroup(often.groupBy("slice")).applyInArrow(lambda a, b: _ask(a, b, groups), "grp bigint, slice bigint, names binary, often binary")
     answers = asked.groupBy("grp").applyInArrow(_answer, "slice bigint, names binary")
-    out = rows.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(lambda a, b: _members(a, b, rank), MEMBERS)
-    return store.written(out.withColumn("cid", F.when(F.col("n_shingles") > 0, F.xxhash64("grp", "whole", "n_shingles"))), "members")
+    told = often.withColumn("names", F.lit(None).cast("binary")).unionByName(answers.withColumn("often", F.lit(None).cast("binary")))
+    out = rows.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(_members, MEMBERS)
+    out = store.written(out.withColumn("cid", F.when(F.col("n_shingles") > 0, F.xxhash64("grp", "whole", "n_shingles"))), "members")
+    store.release(docs.sparkSession)
+    return out
 
 
-def links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(classes, components of classes as (u, m)) from ``members``."""
-    shared = rows.where(F.col("items").isNotNull())
-    classes = store.written(shared.groupBy("cid").agg(F.first("grp").alias("grp"), F.first("n_shingles").alias("n_shingles"), F.first("cells").alias("cells"), F.first("items").alias("items"), F.first("shared").alias("shared")), "classes")
-    groups = classes.groupBy("grp").agg(F.min("cid").alias("lead"), F.first("n_shingles").alias("n"), F.first("shared").alias("shared"))
-    posted = groups.select("grp", "lead", "n", F.explode("shared").alias("t")).select(F.col("t.token").alias("token"), F.col("t.pos").alias("pos"), "grp", "lead", "n")
-    posted = store.written(posted, "postings")
-    # First round: with the least group of each shingle, and the least class of each group.
-    least = posted.groupBy("token").agg(F.min_by(F.struct("lead", "n", "pos"), "lead").alias("l"), F.count("*").alias("k")).where("k > 1").select("token", F.col("l.lead").alias("a"), F.col("l.n").alias("n_a"), F.col("l.pos").alias("p_a"))
-    stars = posted.join(least, "token").where(_fit("n", "n_a") & _placed("n", "pos", "n_a", "p_a")).select("a", F.col("lead").alias("b"))
-    inner = classes.select("grp", F.col("cid").alias("b")).join(groups.select("grp", F.col("lead").alias("a")), "grp").select("a", "b")
-    first = verify(stars.unionByName(inner), classes, "first")
-    comps = components.components(first.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    # Second round: what a shingle or a group still holds of different components. The largest component of each is
-    # paired with the others, not with itself.
+def _across(posted: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs of classes of different components that share a prefix shingle or a group, and fit.
+
+    The largest component of each shingle is paired with the others, not with itself.
+    """
     named = classes.select("grp", "cid", F.col("n_shingles").alias("n")).join(comps.withColumnRenamed("u", "cid"), "cid", "left").select("grp", "cid", "n", F.coalesce("m", "cid").alias("comp"))
     named = store.written(named, "named")
-    by_token = posted.select("token", "pos", "grp").join(named, "grp")
-    by_group = named.select(F.xxhash64(F.lit("group"), "grp").alias("token"), F.lit(0).alias("pos"), "grp", "cid", "n", "comp")
-    slots = by_token.select("token", "pos", "cid", "n", "comp").unionByName(by_group.select("token", "pos", "cid", "n", "comp"))
+    by_token = posted.select("token", "pos", "grp").join(named, "grp").select("token", "pos", "cid", "n", "comp")
+    by_group = named.select(F.xxhash64(F.lit("group"), "grp").alias("token"), F.lit(0).alias("pos"), "cid", "n", "comp")
+    slots = by_token.unionByName(by_group)
     per = slots.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
     slots = store.written(slots.join(per, "token"), "slots")
+    store.release(classes.sparkSession)
     left = slots.where("comp <> main").select("token", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("p_a"), F.col("comp").alias("c_a"))
     right = slots.select("token", F.col("cid").alias("b"), "n", "pos", "comp", "main")
-    cross = left.join(right, "token").where((F.col("c_a") < F.col("comp")) | (F.col("comp") == F.col("main")) & (F.col("c_a") != F.col("comp"))).where(_fit("n", "n_a") & _placed("n", "pos", "n_a", "p_a")).select("a", "b")
-    second = verify(cross, classes, "second")
+    other = (F.col("c_a") < F.col("comp")) | (F.col("comp") == F.col("main")) & (F.col("c_a") != F.col("comp"))
+    return left.join(right, "token").where(other & _fit("n", "n_a") & _placed("n", "pos", "n_a", "p_a")).select("a", "b")
+
+
+def links(docs: DataFrame, rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Components of classes as (u, m), from ``members`` and the documents."""
+    shared = rows.where(F.col("cells").isNotNull())
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("lead")
+    classes = store.written(shared.groupBy("cid").agg(F.first("grp").alias("grp"), F.first("n_shingles").alias("n_shingles"), F.first("cells").alias("cells"), F.first("shared").alias("shared"), lead), "classes")
+    groups = classes.groupBy("grp").agg(F.min("cid").alias("lead"), F.first("n_shingles").alias("n"), F.first("shared").alias("shared"))
+    posted = groups.select("grp", "lead", "n", F.explode("shared").alias("t")).select(F.col("t.token").alias("token"), F.col("t.pos").alias("pos"), "grp", "lead", "n")
+    posted = store.written(posted, "postings")
+    store.release(docs.sparkSession)
+    # First round: of the least groups of its shingles, each group meets those that it shares most with; each class the
+    # least of its group.
+    least = posted.groupBy("token").agg(F.min_by(F.struct("lead", "n", "pos"), "lead").alias("l"), F.count("*").alias("k")).where("k > 1").select("token", F.col("l.lead").alias("a"), F.col("l.n").alias("n_a"), F.col("l.pos").alias("p_a"))
+    stars = posted.join(least, "token").where(_fit("n", "n_a") & _placed("n", "pos", "n_a", "p_a")).where("a <> lead").groupBy(F.col("lead").alias("b"), "a").agg(F.count("*").alias("n"))
+    stars = stars.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "a"))), 1, LEADERS).alias("s")).select(F.explode("s.a").alias("a"), "b")
+    inner = classes.select("grp", F.col("cid").alias("b")).join(groups.select("grp", F.col("lead").alias("a")), "grp").select("a", "b")
+    near = bounded(stars.unionByName(inner), classes, "first")
+    # Sets are made only for classes that some pair may link. Those of the second round are in a near pair of the first,
+    # or in one between what the near pairs connect.
+    edges = lambda pairs: pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    apart = bounded(_across(posted, classes, components.components(edges(near))), classes, "apart")
+    wanted = near.unionByName(apart).select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "lead"), "cid")
+    wanted = store.written(wanted.select("cid", F.col("lead.doc_id").alias("__quire_id"), F.col("lead.text_hash").alias("__quire_hash")), "wanted")
+    store.release(docs.sparkSession)
+    texts = docs.select(F.col(key).cast("long").alias("__key"), F.xxhash64(F.col(text)).alias("__text"), F.col(text).alias("text"))
+    texts = texts.join(wanted, F.col("__key").eqNullSafe(F.col("__quire_id")) & (F.col("__text") == F.col("__quire_hash"))).select("cid", "text").dropDuplicates(["cid"])
+    sets = store.written(texts.mapInArrow(_sets, "cid bigint, items binary"), "sets")
+    store.release(docs.sparkSession)
+    first = verified(near, sets, "first")
+    comps = components.components(edges(first))
+    # Second round: what a shingle or a group still holds of different components.
+    second = verified(bounded(_across(posted, classes, comps), classes, "second"), sets, "second")
     if second.limit(1).count():
-        edges = comps.select("u", F.col("m").alias("v")).unionByName(second.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        comps = components.components(edges)
-    return classes, comps
+        comps = components.components(comps.select("u", F.col("m").alias("v")).unionByName(edges(second)))
+    return comps
 
 
-def _classes(rows: DataFrame) -> DataFrame:
-    """(cid, comp): the component of every class."""
-    _, comps = links(rows)
+def _classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """``members``, and (cid, comp): the component of every class."""
+    rows = members(docs, key, text)
+    comps = links(docs, rows, key, text)
     per = rows.where(F.col("cid").isNotNull()).select("cid").distinct()
-    return per.join(comps.withColumnRenamed("u", "cid"), "cid", "left").select("cid", F.coalesce("m", "cid").alias("comp"))
+    return rows, per.join(comps.withColumnRenamed("u", "cid"), "cid", "left").select("cid", F.coalesce("m", "cid").alias("comp"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, cid, component_id) of every row: its class and the least id that is reachable by links."""
-    rows = members(docs, key, text)
+    rows, per = _classes(docs, key, text)
     lows = rows.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("low"))
-    per = lows.join(_classes(rows), "cid")
+    per = lows.join(per, "cid")
     per = store.written(per.join(per.groupBy("comp").agg(F.min("low").alias("component_id")), "comp").select("cid", "component_id"), "class-components")
     out = rows.select("doc_id", "n_shingles", "cid").join(per, "cid", "left")
     return out.select("doc_id", "n_shingles", "cid", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
@@ -297,15 +370,16 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     Ids may repeat: a row is told by its id and its text, and of rows that agree
     in both one stays. Rows without words are no copies of each other and stay.
     """
-    rows = members(docs, key, text)
+    rows, per = _classes(docs, key, text)
     best = rows.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("b"))
-    stay = best.join(_classes(rows), "cid").groupBy("comp").agg(F.min("b").alias("b")).select(F.col("b.doc_id").alias("__id"), F.col("b.text_hash").alias("__hash"))
+    stay = best.join(per, "cid").groupBy("comp").agg(F.min("b").alias("b")).select(F.col("b.doc_id").alias("__quire_id"), F.col("b.text_hash").alias("__quire_hash"))
     stay = store.written(stay, "stay")
+    store.release(docs.sparkSession)
     has = F.coalesce(F.col(text).rlike("[^ \\t\\n\\x0B\\f\\r]"), F.lit(False))
-    told = docs.withColumn("__text", F.xxhash64(F.col(text)))
-    kept = told.where(has).join(stay, F.col(key).cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")), "left_semi")
+    told = docs.withColumn("__quire_text", F.xxhash64(F.col(text)))
+    kept = told.where(has).join(stay, F.col(key).cast("long").eqNullSafe(F.col("__quire_id")) & (F.col("__quire_text") == F.col("__quire_hash")), "left_semi")
     names = [F.col(f"`{c}`") for c in docs.columns]
-    return kept.dropDuplicates([key, "__text"]).select(*names).unionByName(docs.where(~has))
+    return kept.dropDuplicates([key, "__quire_text"]).select(*names).unionByName(docs.where(~has))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
