@@ -16,8 +16,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(u, m): the least node m of the component of every node u that isn't the least itself.
 
     edges: (u, v) of bigint, either way round. Each round joins every node to
-    the least of its neighbours; it ends when a round changes nothing. Stars
-    keep to one row for each edge, so a hub costs no more than its edges, and
+    the least of its neighbours; it ends when every node has one edge, to a node
+    that has none itself, or when a round changes nothing. Stars keep to one row for each edge, so a hub costs no more than its edges, and
     the joins split by size.
     """
     e = store.written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
@@ -31,8 +31,9 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         low = _least(large)
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         e = store.written(small, "edges")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == said:
+        rows, nodes, *sums = e.agg(F.count("*"), F.countDistinct("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        stars = rows == nodes and not e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count()
+        if stars or (rows, nodes, *sums) == said:
             return e.select("u", F.col("v").alias("m"))
-        said = now
+        said = (rows, nodes, *sums)
     raise RuntimeError(f"components have not settled in {rounds} rounds")
