@@ -43,7 +43,7 @@ SIMILAR = 75
 #: Documents beyond which a shingle is frequent.
 RARE = 48
 #: Leaders that a group is compared with in the first round.
-LEADERS = 1
+LEADERS = 2
 #: Buckets of a set's counts, from which an intersection is bounded before sets are sent.
 CELLS = 512
 
