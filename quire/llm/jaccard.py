@@ -145,13 +145,13 @@ def _ask(table: pa.Table, often: pa.Table, groups: int) -> pa.Table:
     own = int(table.column("slice")[0].as_py())
     s = Sets(*X.utf8(table.column("text")), _often(often))
     row, _, key = s.prefixes()
-    order = np.lexsort((s.group[row], key))
-    key, group = key[order], s.group[row][order]
+    order = np.lexsort((s.whole[row], key))
+    key, whole = key[order], s.whole[row][order]
     first = np.ones(len(key), bool)
     first[1:] = key[1:] != key[:-1]
     at = np.flatnonzero(first)
     differ = np.zeros(len(key), bool)
-    differ[1:] = ~first[1:] & (group[1:] != group[:-1])
+    differ[1:] = ~first[1:] & (whole[1:] != whole[:-1])  # sets of one group link too
     names = key[at]
     often = (1 + (np.add.reduceat(differ.astype(np.int64), at) > 0)).astype(np.uint8) if len(at) else np.zeros(0, np.uint8)
     order, cuts = repeats._cuts(repeats._deal(names, groups))

@@ -119,6 +119,19 @@ def test_jaccard_by_brute_force(spark, awkward):
     assert got == brute_components(rows)
 
 
+def test_lone_pairs_that_differ_in_the_last_word(spark):
+    """Many keep size and prefix, so the two are one group; no other document shares a shingle with them."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(60):
+        words = [f"p{k}w{i}" for i in range(int(rng.integers(12, 120)))]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:-1], "other"]))]
+    rows += [(500, " ".join(f"q{i}" for i in range(40))), (500, " ".join([*(f"q{i}" for i in range(39)), "other"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in jaccard.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect()), key=str)
+    assert got == brute_components(rows)
+
+
 def test_one_of_each(spark, awkward, nothing):
     kept = jaccard.one_of_each(awkward)
     assert kept.columns == awkward.columns
