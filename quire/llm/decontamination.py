@@ -13,6 +13,12 @@ common subsequence of words with the item is taken: a share of STRONG is a
 leak, a share of WEAK is one when the item's answer (its last words) stands
 there too.
 
+Words in more than STOP of the documents have no weight. Passages of items that
+owe them over half of their weight are searched once more, in a space where all
+words have some. Beside both an exact search finds every item whose words stand
+in a document one after the other, however common they are and whatever is
+around them; its cosine is 1 where no latent one reached NEAR.
+
 A projected word's product with each benchmark passage is one number; nearly
 all are close to zero. The large ones are kept as a list for each word, the
 largest of the others bounds what they can add, and only passages that may
@@ -42,8 +48,10 @@ WIDTH, STRIDE = 32, 16
 ITEM_WIDTH, ITEM_STRIDE = 96, 48
 COUNTERS = 1 << 18
 BLOCK, RANK, VOCABULARY = 224, 256, 1 << 14
-#: Words in more than this share of documents don't count.
+#: Words in more than this share of documents don't count, but for passages that they make up.
 STOP = 0.2
+#: First words of an item by which copies of it are looked up; of shorter items all.
+ANCHOR = 8
 #: Directions of all documents' passages in the basis, and their weight against 1 for the benchmark's.
 CORPUS_RANK, CORPUS = 32, 0.02
 #: Products of a word with a benchmark passage under this are bounded instead of listed.
@@ -100,13 +108,54 @@ def summed(rows: DataFrame, n: int, size: int = 1 << 15) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def idf_table(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Weight of each word bucket, from how many of all documents have it."""
+def idf_table(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Weight of each word bucket, from how many of all documents have it: without stop words, and with."""
     counts = summed(docs.select(text).mapInArrow(lambda b: _counted(b, text), "part int, v binary"), COUNTERS + 1)
     n = max(1.0, counts[-1])
-    idf = np.log((n + 1) / (counts[:-1] + 1)) + 1e-3
-    idf[counts[:-1] > max(STOP * n, 2)] = 0
-    return idf.astype(np.float32)
+    idf = (np.log((n + 1) / (counts[:-1] + 1)) + 1e-3).astype(np.float32)
+    return np.where(counts[:-1] > max(STOP * n, 2), np.float32(0), idf), idf
+
+
+@dataclass
+class Copies:
+    """Items by the hash of their first words, for each number of those."""
+
+    length: np.ndarray
+    whole: np.ndarray
+    anchors: dict[int, tuple[np.ndarray, np.ndarray]]  # sorted hashes, item of each
+
+    @staticmethod
+    def of(h: np.ndarray, first: np.ndarray) -> Copies:
+        sums, begin, n = X.prefix_sums(h), first[:-1], np.diff(first)
+        width = np.minimum(n, ANCHOR)
+        hashes, anchors = X.range_hash(sums, begin, begin + width), {}
+        for w in np.unique(width[n > 0]).tolist():
+            items = np.flatnonzero(width == w)
+            items = items[np.argsort(hashes[items], kind="stable")]
+            anchors[w] = hashes[items], items
+        return Copies(n, X.range_hash(sums, begin, first[1:]), anchors)
+
+    def found(self, h: np.ndarray, first: np.ndarray) -> set[tuple[int, int]]:
+        """(row, item) of all items that stand in a text word by word."""
+        sums, out = X.prefix_sums(h), set()
+        stop = np.repeat(first[1:], np.diff(first))
+        for w, (hashes, items) in self.anchors.items():
+            at = np.flatnonzero(np.arange(len(h)) + w <= stop)
+            got = X.range_hash(sums, at, at + w)
+            may = np.zeros(1 << 16, bool)
+            may[hashes >> np.uint64(48)] = True
+            at, got = (x[may[got >> np.uint64(48)]] for x in (at, got))
+            low = np.searchsorted(hashes, got)
+            some = hashes[np.minimum(low, len(hashes) - 1)] == got
+            at, low, got = at[some], low[some], got[some]
+            which, place = X.ragged(np.searchsorted(hashes, got, "right") - low)
+            at, n = at[which], items[low[which] + place]
+            fits = at + self.length[n] <= stop[at]
+            at, n = at[fits], n[fits]
+            same = X.range_hash(sums, at, at + self.length[n]) == self.whole[n]
+            rows = np.searchsorted(first, at[same], "right") - 1
+            out |= set(zip(rows.tolist(), n[same].tolist(), strict=True))
+        return out
 
 
 @dataclass
@@ -137,14 +186,26 @@ def windows(first: np.ndarray, width: int = WIDTH, stride: int = STRIDE) -> tupl
     return row, start, np.minimum(start + width, first[1:][row])
 
 
-def make_block(items: list[tuple[object, str | None]], idf: np.ndarray) -> Block:
+def _owing(h: np.ndarray, start: np.ndarray, end: np.ndarray, idf: np.ndarray, without: np.ndarray) -> np.ndarray:
+    """Passages that have over half of their squared weight from stop words."""
+    k = _bucket(h)
+    whole, rest = (np.concatenate([[0.0], np.cumsum(w[k].astype(np.float64) ** 2)]) for w in (idf, without))
+    return 2 * (rest[end] - rest[start]) < whole[end] - whole[start]
+
+
+def make_block(items: list[tuple[object, str | None]], idf: np.ndarray, without: np.ndarray | None = None) -> Block:
+    """A block of the items' passages; if weights without stop words are given, of those that owe these over half."""
     column = pa.array([t for _, t in items], pa.string())
     h, first = word_hashes(*X.utf8(column))
     words = [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
     weight = idf[_bucket(h)]
+    row, start, end = windows(first, ITEM_WIDTH, ITEM_STRIDE)
+    if without is not None:
+        mine = _owing(h, start, end, idf, without)
+        row, start, end = row[mine], start[mine], end[mine]
+        weight = np.where(np.isin(np.repeat(np.arange(len(items)), np.diff(first)), row), weight, 0)
     vocabulary = np.unique(h[weight > 0])[:VOCABULARY]  # BLOCK items of some 60 words can't reach it
     block = Block([i for i, _ in items], words, vocabulary, idf, np.zeros((0, 0), np.float32), np.zeros(0, np.int64))
-    row, start, end = windows(first, ITEM_WIDTH, ITEM_STRIDE)
     k = block.lookup(h)
     out = np.zeros((len(row), len(vocabulary) + 1), np.float32)
     for i, (a, b) in enumerate(zip(start, end, strict=True)):
@@ -259,11 +320,10 @@ def products(block: Block) -> tuple[Products, np.ndarray]:
     return Products(dense, np.searchsorted(row, np.arange(len(dense) + 1)), passage, dense[row, passage], rest), block.item[some]
 
 
-def matches(text_column, block: Block, table: Products, item: np.ndarray) -> dict[tuple[int, int], tuple[float, float]]:
-    """(row, item of the block) -> (overlap, cosine) of the leaks in a piece of texts."""
+def matches(h: np.ndarray, first: np.ndarray, block: Block, table: Products, item: np.ndarray) -> dict[tuple[int, int], tuple[float, float]]:
+    """(row, item of the block) -> (overlap, cosine) of the leaks in the words of a piece of texts."""
     d, p = len(block.vocabulary), len(item)
     listed = np.diff(table.first)
-    h, first = word_hashes(*X.utf8(text_column))
     k, w = block.lookup(h), block.idf[_bucket(h)].astype(np.float64)
     hits = np.flatnonzero((k < d) & (w > 0))
     kh, wh = k[hits], w[hits]
@@ -295,23 +355,49 @@ def matches(text_column, block: Block, table: Products, item: np.ndarray) -> dic
     return found
 
 
-def _searched(batches, key, text, block: Block):
-    table, item = products(block)
+@dataclass
+class Group:
+    """Items that are worked off in one pass: copies of them, and their blocks."""
+
+    ids: list
+    copies: Copies
+    blocks: list[Block]
+
+    @staticmethod
+    def of(rows: list[tuple[object, str | None]], blocks: list[Block]) -> Group:
+        h, first = word_hashes(*X.utf8(pa.array([t for _, t in rows], pa.string())))
+        return Group([i for i, _ in rows], Copies.of(h, first), [b for b in blocks if b.basis is not None])
+
+
+def _leaks_of(text_column, group: Group, tables: list) -> dict[tuple[int, int], tuple[float, float]]:
+    """(row, item of the group) -> (overlap, cosine): the largest of what any block finds, and 1 for copies."""
+    h, first = word_hashes(*X.utf8(text_column))
+    found: dict[tuple[int, int], tuple[float, float]] = {}
+    for block, (table, item) in zip(group.blocks, tables, strict=True):
+        for x, y in matches(h, first, block, table, item).items():
+            found[x] = max(found.get(x, y), y)
+    for x in group.copies.found(h, first):
+        found[x] = (1.0, found[x][1] if x in found else 1.0)
+    return found
+
+
+def _searched(batches, key, text, group: Group):
+    tables = [products(b) for b in group.blocks]
     for batch in batches:
         for piece in X.pieces(batch, text, X.PIECE // 2):
-            found = matches(piece.column(text), block, table, item)
+            found = _leaks_of(piece.column(text), group, tables)
             pairs = sorted(found)
             if pairs:
                 ids = piece.column(key).take(pa.array([t for t, _ in pairs], pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([block.ids[n] for _, n in pairs], pa.int64()), pa.array([round(found[x][0], 6) for x in pairs]), pa.array([round(found[x][1], 4) for x in pairs])], ["doc_id", "item_id", "overlap", "cosine"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array([group.ids[n] for _, n in pairs], pa.int64()), pa.array([round(found[x][0], 6) for x in pairs]), pa.array([round(found[x][1], 4) for x in pairs])], ["doc_id", "item_id", "overlap", "cosine"])
 
 
-def _cleaned(batches, text, block: Block):
-    table, item = products(block)
+def _cleaned(batches, text, group: Group):
+    tables = [products(b) for b in group.blocks]
     for batch in batches:
         for piece in X.pieces(batch, text, X.PIECE // 2):
             keep = np.ones(piece.num_rows, bool)
-            keep[[t for t, _ in matches(piece.column(text), block, table, item)]] = False
+            keep[[t for t, _ in _leaks_of(piece.column(text), group, tables)]] = False
             yield piece.filter(pa.array(keep))
 
 
@@ -321,15 +407,15 @@ def blocks_of(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_
     n = items.count()
     if not n or not docs.limit(1).count():
         return
-    idf = idf_table(docs, text)
+    without, idf = idf_table(docs, text)
     count = -(-n // BLOCK)
     dealt = items.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(count)))
     for b in range(count):
         rows = sorted(((r["i"], r["t"]) for r in dealt.where(F.col("b") == b).collect()), key=lambda x: (x[0] is None, x[0], x[1] or ""))
-        block = make_block(rows, idf)
-        fit_basis(docs, block, text, rank)
-        if block.basis is not None:
-            yield docs.sparkSession.sparkContext.broadcast(block)
+        blocks = [make_block(rows, without), make_block(rows, idf, without)]
+        for block in blocks:
+            fit_basis(docs, block, text, rank)
+        yield docs.sparkSession.sparkContext.broadcast(Group.of(rows, blocks))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", rank: int = RANK) -> DataFrame:

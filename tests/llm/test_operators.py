@@ -356,6 +356,43 @@ def test_exact_leaks_are_found(spark, folder):
     assert decontamination.cleaned(docs, items).count() == docs.count() - len({d for d, _ in got})
 
 
+def _words(rng, n, k=3000):
+    vocabulary = np.array([f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(k)])
+    return [str(w) for w in rng.choice(vocabulary, n)]
+
+
+def _leaked(spark, docs, items):
+    """Pairs that are found, and whether the cleaned table has just the documents of none."""
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, items).collect()}
+    assert {r["doc_id"] for r in decontamination.cleaned(docs, items).collect()} == {r["doc_id"] for r in docs.collect()} - {d for d, _ in got}
+    return got
+
+
+def test_items_of_common_words_are_found(spark):
+    rng = np.random.default_rng(4)
+    often = [f"often{c}" for c in "abcdefghijklmnopqrst"]
+    items = [(0, _words(rng, 30)), (1, often[:18])]  # one in a third of the documents, one of words that all documents have
+    docs, planted = [], set()
+    for d in range(90):
+        w = [*_words(rng, 100), *rng.permutation(often).tolist()]
+        if d % 3 == 0:
+            w[20:20] = items[0][1]
+            planted.add((d, 0))
+        if d % 10 == 1:
+            w[60:60] = items[1][1]
+            planted.add((d, 1))
+        docs.append((d, w))
+    got = _leaked(spark, docs, items)
+    assert planted <= got and {x for x in got - planted if x[1] == 0} == set()
+
+
+def test_items_of_a_small_table_are_found(spark):
+    item = _words(np.random.default_rng(6), 20)
+    assert _leaked(spark, [(d, item) for d in range(4)], [(0, item)]) == {(d, 0) for d in range(4)}
+
+
 def test_decontamination_on_awkward(spark, awkward, nothing):
     items = spark.createDataFrame([(1, None), (2, ""), (None, "alpha beta gamma delta epsilon zeta eta theta"), (4, "- -")], "item_id long, text string")
     assert decontamination.cleaned(awkward, items.limit(0)).count() == awkward.count()
