@@ -22,8 +22,11 @@ around them; its cosine is 1 where no latent one reached NEAR.
 A projected word's product with each benchmark passage is one number; nearly
 all are close to zero. The large ones are kept as a list for each word, the
 largest of the others bounds what they can add, and only passages that may
-reach NEAR by that bound are projected in full, so none is lost. A benchmark is worked off in blocks of BLOCK items, so what is broadcast
-has a fixed bound: block items, basis (VOCABULARY words by RANK), and counters.
+reach NEAR by that bound are projected in full, so none is lost. A benchmark is worked off in blocks whose passages and
+corpus directions are at most RANK, so the basis leaves none out, and whose
+words are at most VOCABULARY. An item with more passages has a group of blocks
+of its own, worked off in one pass. What is broadcast has a fixed bound for each
+block: items, basis (VOCABULARY words by RANK), and counters.
 
 Words are runs of letters in lower case. Null and empty texts, and items
 without words, match nothing. Items under eight words need nine tenths of their
@@ -44,10 +47,10 @@ from quire.llm import text as X
 from quire.llm.toxicity import letter_runs
 
 WIDTH, STRIDE = 32, 16
-#: Items are one passage each up to so many words, which keeps the passages of a block under the rank.
+#: Items are one passage each up to so many words.
 ITEM_WIDTH, ITEM_STRIDE = 96, 48
 COUNTERS = 1 << 18
-BLOCK, RANK, VOCABULARY = 224, 256, 1 << 14
+RANK, VOCABULARY = 256, 1 << 14
 #: Words in more than this share of documents don't count, but for passages that they make up.
 STOP = 0.2
 #: First words of an item by which copies of it are looked up; of shorter items all.
@@ -186,6 +189,31 @@ def windows(first: np.ndarray, width: int = WIDTH, stride: int = STRIDE) -> tupl
     return row, start, np.minimum(start + width, first[1:][row])
 
 
+def most_passages(rank: int = RANK) -> int:
+    """Passages whose directions fit the rank beside the corpus's, and whose words, if one item's, the vocabulary."""
+    if rank <= CORPUS_RANK:
+        raise ValueError(f"rank {rank} has no room beside {CORPUS_RANK} directions of the corpus")
+    return min(rank - CORPUS_RANK, (VOCABULARY - ITEM_WIDTH) // ITEM_STRIDE + 1)
+
+
+def dealt(items, most: int):
+    """Lists of items with at most ``most`` passages and VOCABULARY words in all; one with more passages is alone. With each, its number of passages."""
+    rows, held, seen = [], 0, set()
+    for i, t in items:
+        h, first = word_hashes(*X.utf8(pa.array([t], pa.string())))
+        n, words = len(windows(first, ITEM_WIDTH, ITEM_STRIDE)[0]), set(h.tolist())
+        if n > most:
+            yield [(i, t)], n
+        elif n:
+            if held + n > most or len(seen | words) > VOCABULARY:
+                yield rows, held
+                rows, held, seen = [], 0, set()
+            rows.append((i, t))
+            held, seen = held + n, seen | words
+    if rows:
+        yield rows, held
+
+
 def _owing(h: np.ndarray, start: np.ndarray, end: np.ndarray, idf: np.ndarray, without: np.ndarray) -> np.ndarray:
     """Passages that have over half of their squared weight from stop words."""
     k = _bucket(h)
@@ -193,18 +221,20 @@ def _owing(h: np.ndarray, start: np.ndarray, end: np.ndarray, idf: np.ndarray, w
     return 2 * (rest[end] - rest[start]) < whole[end] - whole[start]
 
 
-def make_block(items: list[tuple[object, str | None]], idf: np.ndarray, without: np.ndarray | None = None) -> Block:
-    """A block of the items' passages; if weights without stop words are given, of those that owe these over half."""
+def make_block(items: list[tuple[object, str | None]], idf: np.ndarray, part: slice = slice(None), without: np.ndarray | None = None) -> Block:
+    """A block of those passages of the items that are in ``part``; if weights without stop words are given, of those that owe these over half."""
     column = pa.array([t for _, t in items], pa.string())
     h, first = word_hashes(*X.utf8(column))
     words = [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
     weight = idf[_bucket(h)]
-    row, start, end = windows(first, ITEM_WIDTH, ITEM_STRIDE)
+    row, start, end = (x[part] for x in windows(first, ITEM_WIDTH, ITEM_STRIDE))
     if without is not None:
         mine = _owing(h, start, end, idf, without)
         row, start, end = row[mine], start[mine], end[mine]
-        weight = np.where(np.isin(np.repeat(np.arange(len(items)), np.diff(first)), row), weight, 0)
-    vocabulary = np.unique(h[weight > 0])[:VOCABULARY]  # BLOCK items of some 60 words can't reach it
+    inside = np.cumsum(np.bincount(start, minlength=len(h) + 1) - np.bincount(end, minlength=len(h) + 1))[:-1] > 0
+    vocabulary = np.unique(h[inside & (weight > 0)])
+    if len(vocabulary) > VOCABULARY:
+        raise ValueError(f"a block has {len(vocabulary)} words, over {VOCABULARY}")
     block = Block([i for i, _ in items], words, vocabulary, idf, np.zeros((0, 0), np.float32), np.zeros(0, np.int64))
     k = block.lookup(h)
     out = np.zeros((len(row), len(vocabulary) + 1), np.float32)
@@ -262,7 +292,9 @@ def fit_basis(docs: DataFrame, block: Block, text: str = "text", rank: int = RAN
     root = np.linalg.solve(low, y.T)  # root.T @ root is the corpus's Gram matrix, as far as the sketch saw it
     own = block.passages.astype(np.float64)
     _, _, vt = np.linalg.svd(np.vstack([own / max(1e-9, np.linalg.norm(own)), np.sqrt(CORPUS) * root]), full_matrices=False)
-    block.basis = vt[:rank].T.astype(np.float32)
+    if len(vt) > rank:
+        raise ValueError(f"a block has {len(vt)} directions, over {rank}")
+    block.basis = vt.T.astype(np.float32)
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -402,17 +434,15 @@ def _cleaned(batches, text, group: Group):
 
 
 def blocks_of(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, rank: int):
-    """The benchmark's blocks, each with its latent space, one after the other."""
+    """The benchmark's groups of blocks, each block with its latent space, one after the other."""
     items = benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t"))
-    n = items.count()
-    if not n or not docs.limit(1).count():
+    if not items.limit(1).count() or not docs.limit(1).count():
         return
-    without, idf = idf_table(docs, text)
-    count = -(-n // BLOCK)
-    dealt = items.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(count)))
-    for b in range(count):
-        rows = sorted(((r["i"], r["t"]) for r in dealt.where(F.col("b") == b).collect()), key=lambda x: (x[0] is None, x[0], x[1] or ""))
-        blocks = [make_block(rows, without), make_block(rows, idf, without)]
+    (without, idf), most = idf_table(docs, text), most_passages(rank)
+    for rows, n in dealt(items.orderBy(F.xxhash64("i", "t"), "i", "t").toLocalIterator(), most):
+        rows = sorted(((i, t) for i, t in rows), key=lambda x: (x[0] is None, x[0], x[1] or ""))
+        parts = [slice(k, k + most) for k in range(0, n, most)]
+        blocks = [make_block(rows, without, p) for p in parts] + [make_block(rows, idf, p, without) for p in parts]
         for block in blocks:
             fit_basis(docs, block, text, rank)
         yield docs.sparkSession.sparkContext.broadcast(Group.of(rows, blocks))

@@ -393,6 +393,31 @@ def test_items_of_a_small_table_are_found(spark):
     assert _leaked(spark, [(d, item) for d in range(4)], [(0, item)]) == {(d, 0) for d in range(4)}
 
 
+def test_long_items_lose_no_direction(spark):
+    """Their passages are more than a block's rank; every sixth word is changed, so no copy is exact."""
+    rng = np.random.default_rng(8)
+    items = [(i, _words(rng, 300, 15000)) for i in range(200)] + [(999, _words(rng, 12000, 15000))]
+    docs, planted = [], set()
+    for i, w in items[:40]:
+        docs.append((i, [*_words(rng, 60, 15000), *(x if k % 6 else "other" for k, x in enumerate(w)), *_words(rng, 60, 15000)]))
+        planted.add((i, i))
+    docs.append((999, [x if k % 6 else "other" for k, x in enumerate(items[-1][1])]))
+    docs += [(1000 + d, _words(rng, 200, 15000)) for d in range(100)]
+    assert _leaked(spark, docs, items) == planted | {(999, 999)}
+
+
+def test_blocks_are_bounded():
+    rng = np.random.default_rng(9)
+    items = [(i, " ".join(_words(rng, int(rng.integers(1, 900)), 15000))) for i in range(300)] + [(400, " ".join(_words(rng, 12000, 15000))), (401, None)]
+    most, idf = decontamination.most_passages(), np.ones(decontamination.COUNTERS, np.float32)
+    groups = list(decontamination.dealt(items, most))
+    assert sorted(i for rows, _ in groups for i, _ in rows) == [*range(300), 400]
+    for rows, n in groups:
+        blocks = [decontamination.make_block(rows, idf, slice(k, k + most)) for k in range(0, n, most)]
+        assert sum(len(b.item) for b in blocks) == n and all(len(b.item) <= most and len(b.vocabulary) <= decontamination.VOCABULARY for b in blocks)
+        assert all(len(b.words[0]) for b in blocks)
+
+
 def test_decontamination_on_awkward(spark, awkward, nothing):
     items = spark.createDataFrame([(1, None), (2, ""), (None, "alpha beta gamma delta epsilon zeta eta theta"), (4, "- -")], "item_id long, text string")
     assert decontamination.cleaned(awkward, items.limit(0)).count() == awkward.count()
