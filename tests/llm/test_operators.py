@@ -418,6 +418,21 @@ def test_blocks_are_bounded():
         assert all(len(b.words[0]) for b in blocks)
 
 
+def test_short_items_are_found(spark):
+    rng = np.random.default_rng(10)
+    items = [(n, [f"item{chr(97 + n)}{chr(97 + k)}" for k in range(n)]) for n in (1, 2, 4, 5, 7, 8, 12)]
+    docs, planted = [], set()
+    for d in range(200):
+        w = _words(rng, 120, 15000)
+        for n, item in items[d % 3 :: 3]:
+            w[50:50] = item
+            planted.add((d, n))
+        docs.append((d, w))
+    docs.append((500, [x for _, w in items[1:] for x in w[:-1]]))  # no item is whole
+    got = _leaked(spark, docs, items)
+    assert planted <= got and {x for x in got - planted if x[0] < 500 or x[1] < 8} == set()
+
+
 def test_decontamination_on_awkward(spark, awkward, nothing):
     items = spark.createDataFrame([(1, None), (2, ""), (None, "alpha beta gamma delta epsilon zeta eta theta"), (4, "- -")], "item_id long, text string")
     assert decontamination.cleaned(awkward, items.limit(0)).count() == awkward.count()
