@@ -20,3 +20,12 @@ def test_runs(spark, name):
 def test_two_runs_agree(spark):
     a, b = (sorted(map(tuple, catalogue.QUERIES["locate_parts"](spark, FOLDER).collect())) for _ in range(2))
     assert a == b
+
+
+def test_tree_has_every_customer(spark):
+    folder = FOLDER.replace("0.001", "0.01")
+    ids = {r[0] for r in spark.read.parquet(f"{folder}/customer.parquet").select("c_custkey").collect()}
+    role = ("Document", "Sect", "L", "LI", "P")
+    path = lambda n: [*(path(n // 2) if n > 1 else []), role[n % 5]]
+    got = {r["id"]: (r["depth"], r["path"]) for r in catalogue.QUERIES["tree_paths"](spark, folder).collect()}
+    assert len(ids) > 1000 and got == {n: (len(path(n)) - 1, "/".join(path(n))) for n in ids}
