@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Label values at most.
+VALUES = 64
+
 
 def labelled(labels: DataFrame, value: str, most: int, key: str = "doc_id", where: Column | None = None, seed: str = "fit-1") -> dict:
     """{id: label} of at most ``most`` labelled rows of each label value, those with the least hashes.
 
     The same rows are taken at every size and on every run. Null ids and null
     labels are left out; of several labels for one id the largest counts. Only
-    ids and labels reach the driver, ``most`` for each of the label's values.
+    ids and labels reach the driver, ``most`` for each of the label's values;
+    more than VALUES of those are an error.
     """
     rows = labels.where(F.col(key).isNotNull() & F.col(value).isNotNull())
     if where is not None:
@@ -19,7 +23,10 @@ def labelled(labels: DataFrame, value: str, most: int, key: str = "doc_id", wher
     rows = rows.groupBy(F.col(key).alias("id")).agg(F.max(value).alias("label"))
     rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "id"))
     out: dict = {}
-    for (x,) in sorted(rows.select("label").distinct().limit(64).collect()):
+    values = sorted(rows.select("label").distinct().limit(VALUES + 1).collect())
+    if len(values) > VALUES:
+        raise ValueError(f"{value} has over {VALUES} values")
+    for (x,) in values:
         out |= {r["id"]: x for r in rows.where(F.col("label") == x).orderBy("h", "id").limit(most).collect()}
     return out
 

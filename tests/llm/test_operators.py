@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import bwt, components, decontamination, fmindex, jaccard, mixing, outliers, quality, queries, secrets, sharding, store, substrings, toxicity
+from quire.llm import bwt, components, decontamination, fmindex, jaccard, mixing, outliers, quality, queries, sample, secrets, sharding, store, substrings, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -285,6 +285,13 @@ def test_ordered_thresholds():
     assert np.corrcoef(grade, y)[0, 1] > 0.8 and ((tail >= 0) & (tail <= 1)).all()
 
 
+def test_too_many_label_values_are_an_error(spark):
+    labels = spark.createDataFrame([(i, i) for i in range(sample.VALUES + 1)], "doc_id long, grade int")
+    assert len(sample.labelled(labels.limit(sample.VALUES), "grade", 5)) == sample.VALUES
+    with pytest.raises(ValueError, match="64 values"):
+        sample.labelled(labels, "grade", 5)
+
+
 def test_classifiers_on_awkward(spark, awkward, nothing):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (5, None, None), (None, 1, 1), (6, 1, 0), (7, 0, 1), (7, 1, 0)], "doc_id long, quality int, toxic int")
     for docs in (awkward, nothing):
