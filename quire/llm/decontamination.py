@@ -67,7 +67,7 @@ ANSWER_WORDS = 6
 def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word and the first word of each text."""
     low, start, end, first = letter_runs(buf, off)
-    return X.range_hash(X.prefix_sums(X.BYTE[low]), start, end), first
+    return X.tree_hash(X.BYTE[low], start, end), first
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:

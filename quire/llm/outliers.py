@@ -77,10 +77,11 @@ def count_texts(buf: np.ndarray, off: np.ndarray, span: int = 5) -> dict[str, np
     n_words = np.diff(first)
     solid = ~X.WHITE[buf]
     out = {"n_words": n_words, "word_chars": _per_text(solid & ((buf & 0xC0) != 0x80), off), "n_symbols": _per_text(_SYMBOL[buf], off), "n_upper": _per_text((buf >= 65) & (buf <= 90), off)}
-    sums = X.prefix_sums(X.BYTE[buf])
+    values = X.BYTE[buf]
+    sums = X.prefix_sums(values)
     doc = np.repeat(np.arange(n), n_words)
     # Windows of `span` words that are found twice or more, and the words under them.
-    h = X.range_hash(sums, start, end)
+    h = X.tree_hash(values, start, end, sums)
     grams = X.prefix_sums(h)
     at = np.arange(max(0, len(h) - span + 1))
     at = at[doc[at] == doc[at + span - 1]] if len(at) else at
@@ -97,7 +98,7 @@ def count_texts(buf: np.ndarray, off: np.ndarray, span: int = 5) -> dict[str, np
     has = np.searchsorted(start, line) < np.searchsorted(start, stop)
     line, stop = line[has], stop[has]
     of = np.searchsorted(off, line, "right") - 1
-    before, _ = _again(of, X.range_hash(sums, line, stop))
+    before, _ = _again(of, X.tree_hash(values, line, stop, sums))
     out["n_dup_lines"] = np.bincount(of[before], minlength=n)
     out["n_lines"] = np.bincount(of, minlength=n)
     return out

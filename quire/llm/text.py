@@ -3,6 +3,14 @@
 A batch of texts is one UTF-8 buffer with offsets, as Arrow keeps it. Words
 are maximal runs of bytes outside ``{20, 09-0D}``. Hashes are 64-bit
 polynomials over the whole buffer, so that any range costs two lookups.
+
+Modulo a power of two a polynomial has the same value for some pairs of texts of
+two letters (Thue-Morse sequences) from about a thousand letters on, whatever
+its base. ``range_hash`` is therefore for ranges of a bounded length, a few
+hundred symbols; whole words, lines and texts go through ``tree_hash``, which
+never has more than BLOCK symbols in one polynomial. Two different values then
+agree with a chance of about 2**-64; among n distinct ones the chance that any
+two agree is n * n / 2**65.
 """
 
 from __future__ import annotations
@@ -64,6 +72,29 @@ def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix((sums[end] - sums[start]) * _power("down", len(sums))[start] + (end - start).astype(np.uint64))
 
 
+#: Symbols of one polynomial in ``tree_hash``.
+BLOCK = 32
+
+
+def tree_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of ranges of any length: of blocks of symbols, then of the blocks' hashes, until one is left."""
+    sums = prefix_sums(values) if sums is None else sums
+    n = end - start
+    long = np.flatnonzero(n > BLOCK)
+    if not len(long):
+        return range_hash(sums, start, end)
+    out = np.empty(len(n), np.uint64)
+    short = np.flatnonzero(n <= BLOCK)
+    out[short] = range_hash(sums, start[short], end[short])
+    parts = -(-n[long] // BLOCK)
+    row, place = ragged(parts)
+    at = start[long][row] + place * BLOCK
+    last = np.cumsum(parts)
+    blocks = range_hash(sums, at, np.minimum(at + BLOCK, end[long][row]))
+    out[long] = mix(tree_hash(blocks, last - parts, last) + n[long].astype(np.uint64))
+    return out
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and int64 offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -113,7 +144,7 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return range_hash(prefix_sums(BYTE[buf]), start, end)
+    return tree_hash(BYTE[buf], start, end)
 
 
 def ragged(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
