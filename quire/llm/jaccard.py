@@ -6,12 +6,17 @@ few shingles (the prefix). Documents of one prefix and size form a group, sets
 that are equal one class; groups that share a prefix shingle, and fit by size
 and by the places of that shingle, are expanded to their members and compared.
 
-A family of n near copies has n * n / 2 links, all in one component, so links
-are verified in two rounds. First every group is compared with the least group
-of each of its shingles, and every class with the least of its group. Then, in
-each shingle and group, every pair whose members are still in different
-components. A pair that is never compared is one whose members are connected
-already, so no component loses a link.
+A family of n near copies has n * n / 2 links, all in one component, so not all
+are verified. First every group is compared with the least groups of its
+shingles, and every class with the least of its group. Then, in rounds, what a
+shingle still holds of different components (parts of groups) is compared with
+one member of the shingle's largest component, another one in each round. When
+rounds no longer halve what is left, or little is left, all pairs of parts of
+different components that share a shingle and fit are made distinct, expanded
+to their classes and compared. A pair that is never compared is one whose
+members are connected already, so no component loses a link. The rounds are run
+twice: with a bound of the intersection, which tells whose sets are needed, and
+with the sets.
 
 The order puts shingles that more than RARE documents have behind all others,
 so that a passage with many readers is no reason to compare them. For that
@@ -21,6 +26,9 @@ function of the shingle, so all documents sort alike even where two shingles
 share one. Of the shingles themselves only those of prefixes are sent, and only
 those that occur twice are posted.
 
+Shingles and sets are told by 64-bit hashes (``quire.llm.text``): among n
+distinct shingles two agree with a chance of n * n / 2**65.
+
 Documents without words or text have no set, link with nothing and are their
 own component. Those under five words have one shingle, the whole. Repeated
 rows and equal ids are rows like any other; the component of rows whose ids are
@@ -42,8 +50,10 @@ SPAN = 5
 SIMILAR = 75
 #: Documents beyond which a shingle is frequent.
 RARE = 48
-#: Leaders that a group is compared with in the first round.
+#: Leaders that a group is compared with in each round.
 LEADERS = 2
+#: Pairs for each part of a shingle that count as little.
+LITTLE = 2
 #: Buckets of a set's counts, from which an intersection is bounded before sets are sent.
 CELLS = 512
 
@@ -127,8 +137,8 @@ class Sets:
         self.prefix = np.where(self.size > 0, self.size - (SIMILAR * self.size + 99) // 100 + 1, 0)
         sums = X.prefix_sums(self.key)
         begin = self.first[:-1]
-        self.group = X.mix(X.range_hash(sums, begin, begin + self.prefix) + self.size.astype(np.uint64))
-        self.whole = X.range_hash(sums, begin, self.first[1:])
+        self.group = X.mix(X.tree_hash(self.key, begin, begin + self.prefix, sums) + self.size.astype(np.uint64))
+        self.whole = X.tree_hash(self.key, begin, self.first[1:], sums)
 
     def prefixes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, place and shingle of every prefix shingle."""
@@ -248,10 +258,13 @@ def _side(classes: DataFrame, x: str, *columns: str) -> DataFrame:
     return classes.select(F.col("cid").alias(x), *(F.col(c).alias(f"{'n' if c == 'n_shingles' else c}_{x}") for c in columns))
 
 
+def _told(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+
+
 def bounded(pairs: DataFrame, classes: DataFrame, name: str) -> DataFrame:
     """The distinct pairs (a, b) of classes that may link, by their counts by cell."""
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    near = pairs.join(_side(classes, "a", "n_shingles", "cells"), "a").join(_side(classes, "b", "n_shingles", "cells"), "b")
+    near = _told(pairs).join(_side(classes, "a", "n_shingles", "cells"), "a").join(_side(classes, "b", "n_shingles", "cells"), "b")
     near = store.written(near.mapInArrow(_bounded, "a bigint, b bigint"), f"{name}-near")
     store.release(classes.sparkSession)
     return near
@@ -278,7 +291,8 @@ def members(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """MEMBERS with cid, the name of its class, written to the shared folder."""
     total = docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
     slices, groups = max(1, -(-total // SLICE)), max(1, -(-total // NAMES))
-    own = F.pmod(F.when(F.col(key).isNull(), F.xxhash64(F.lit("null"), F.col(text))).otherwise(F.xxhash64(F.col(key))), F.lit(slices))
+    # By id, text and place in the input, so that neither an id nor a text with many rows fills a slice.
+    own = F.pmod(F.xxhash64(F.col(key), F.col(text), F.spark_partition_id()), F.lit(slices))
     rows = docs.select(own.alias("slice"), F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
     seen = rows.groupBy("slice").applyInArrow(lambda t: _seen(t, groups), "grp bigint, slice bigint, prints binary, often binary")
     often = seen.groupBy("grp").applyInArrow(_frequent, "slice bigint, often binary")
@@ -291,23 +305,75 @@ def members(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return out
 
 
-def _across(posted: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs of classes of different components that share a prefix shingle or a group, and fit.
+def _edges(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _starred(slots: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each b with those leaders of its shingles that it shares most with. leaders: (token, l: lead, n, pos)."""
+    stars = slots.join(leaders.select("token", F.col("l.lead").alias("a"), F.col("l.n").alias("n_a"), F.col("l.pos").alias("p_a")), "token")
+    stars = stars.where(_fit("n", "n_a") & _placed("n", "pos", "n_a", "p_a")).where("a <> lead").groupBy(F.col("lead").alias("b"), "a").agg(F.count("*").alias("n"))
+    stars = stars.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "a"))), 1, LEADERS).alias("s"))
+    return stars.select(F.explode("s.a").alias("a"), "b")
+
 
-    The largest component of each shingle is paired with the others, not with itself.
+def _parts(posted: DataFrame, classes: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parts of groups by component: (cid, lead) of their classes, and what shingles and groups hold of several components.
+
+    A part is named by its least class, ``lead``. The second table has a row for
+    each shingle and part: (token, pos, lead, n, comp), with ``main``, the
+    shingle's largest component, and ``share`` of its pairs between components.
     """
-    named = classes.select("grp", "cid", F.col("n_shingles").alias("n")).join(comps.withColumnRenamed("u", "cid"), "cid", "left").select("grp", "cid", "n", F.coalesce("m", "cid").alias("comp"))
-    named = store.written(named, "named")
-    by_token = posted.select("token", "pos", "grp").join(named, "grp").select("token", "pos", "cid", "n", "comp")
-    by_group = named.select(F.xxhash64(F.lit("group"), "grp").alias("token"), F.lit(0).alias("pos"), "cid", "n", "comp")
+    named = store.written(classes.select("grp", "cid", F.col("n_shingles").alias("n")).join(comps.withColumnRenamed("u", "cid"), "cid", "left").select("grp", "cid", "n", F.coalesce("m", "cid").alias("comp")), "named")
+    parts = store.written(named.groupBy("grp", "comp").agg(F.min("cid").alias("lead"), F.first("n").alias("n"), F.count("*").alias("k")), "parts")
+    by_token = posted.select("token", "pos", "grp").join(parts, "grp").select("token", "pos", "lead", "n", "comp", "k")
+    by_group = parts.select(F.xxhash64(F.lit("group"), "grp").alias("token"), F.lit(0).alias("pos"), "lead", "n", "comp", "k")
     slots = by_token.unionByName(by_group)
-    per = slots.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
-    slots = store.written(slots.join(per, "token"), "slots")
+    k = F.col("k").cast("double")
+    per = slots.groupBy("token", "comp").agg(F.sum(k).alias("k"), F.count("*").alias("slots")).groupBy("token")
+    per = per.agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("kinds"), ((F.sum("k") * F.sum("k") - F.sum(k * k)) / 2 / F.sum("slots")).alias("share")).where("kinds > 1").drop("kinds")
+    slots = store.written(slots.drop("k").join(per, "token"), "slots")
     store.release(classes.sparkSession)
-    left = slots.where("comp <> main").select("token", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("p_a"), F.col("comp").alias("c_a"))
-    right = slots.select("token", F.col("cid").alias("b"), "n", "pos", "comp", "main")
+    return named.select("cid", "grp", "comp").join(parts.select("grp", "comp", "lead"), ["grp", "comp"]).select("cid", "lead"), slots
+
+
+def _rest(slots: DataFrame, members: DataFrame) -> DataFrame:
+    """All pairs of classes of different components that share a prefix shingle or a group, and fit.
+
+    Pairs of parts are filtered and made distinct before they are expanded. The
+    largest component of each shingle is paired with the others, not with itself.
+    """
+    left = slots.where("comp <> main").select("token", F.col("lead").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("p_a"), F.col("comp").alias("c_a"))
+    right = slots.select("token", F.col("lead").alias("b"), "n", "pos", "comp", "main")
     other = (F.col("c_a") < F.col("comp")) | (F.col("comp") == F.col("main")) & (F.col("c_a") != F.col("comp"))
-    return left.join(right, "token").where(other & _fit("n", "n_a") & _placed("n", "pos", "n_a", "p_a")).select("a", "b")
+    pairs = _told(left.join(right, "token").where(other & _fit("n", "n_a") & _placed("n", "pos", "n_a", "p_a")))
+    first = pairs.join(members.select(F.col("lead").alias("a"), F.col("cid").alias("x")), "a")
+    return first.join(members.select(F.col("lead").alias("b"), F.col("cid").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def connected(posted: DataFrame, classes: DataFrame, comps: DataFrame, judge) -> tuple[DataFrame, list[DataFrame]]:
+    """comps (u, m) with every link between components that ``judge`` finds merged, and the tables of links that it found."""
+    found, before = [], None
+    while True:
+        members, slots = _parts(posted, classes, comps)
+        rows, left = slots.agg(F.count("*"), F.sum("share")).first()
+        if not rows:
+            return comps, found
+        last = left <= LITTLE * rows or before is not None and left > before / 2
+        if last:
+            pairs = _rest(slots, members)
+        else:
+            turn = F.struct(F.xxhash64(F.lit(len(found)), "lead"), "lead")
+            leaders = slots.where("comp = main").groupBy("token").agg(F.min_by(F.struct("lead", "n", "pos"), turn).alias("l"))
+            pairs = _starred(slots.where("comp <> main"), leaders)
+        links = judge(pairs)
+        some = links.limit(1).count()
+        if some:
+            found.append(links)
+            comps = components.components(comps.select("u", F.col("m").alias("v")).unionByName(_edges(links)))
+        if last:
+            return comps, found
+        before = left
 
 
 def links(docs: DataFrame, rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -319,31 +385,25 @@ def links(docs: DataFrame, rows: DataFrame, key: str = "doc_id", text: str = "te
     posted = groups.select("grp", "lead", "n", F.explode("shared").alias("t")).select(F.col("t.token").alias("token"), F.col("t.pos").alias("pos"), "grp", "lead", "n")
     posted = store.written(posted, "postings")
     store.release(docs.sparkSession)
-    # First round: of the least groups of its shingles, each group meets those that it shares most with; each class the
-    # least of its group.
-    least = posted.groupBy("token").agg(F.min_by(F.struct("lead", "n", "pos"), "lead").alias("l"), F.count("*").alias("k")).where("k > 1").select("token", F.col("l.lead").alias("a"), F.col("l.n").alias("n_a"), F.col("l.pos").alias("p_a"))
-    stars = posted.join(least, "token").where(_fit("n", "n_a") & _placed("n", "pos", "n_a", "p_a")).where("a <> lead").groupBy(F.col("lead").alias("b"), "a").agg(F.count("*").alias("n"))
-    stars = stars.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "a"))), 1, LEADERS).alias("s")).select(F.explode("s.a").alias("a"), "b")
+    # Of the least groups of its shingles each group meets those that it shares most with, each class the least of its group.
+    least = posted.groupBy("token").agg(F.min_by(F.struct("lead", "n", "pos"), "lead").alias("l"), F.count("*").alias("k")).where("k > 1")
     inner = classes.select("grp", F.col("cid").alias("b")).join(groups.select("grp", F.col("lead").alias("a")), "grp").select("a", "b")
-    near = bounded(stars.unionByName(inner), classes, "first")
-    # Sets are made only for classes that some pair may link. Those of the second round are in a near pair of the first,
-    # or in one between what the near pairs connect.
-    edges = lambda pairs: pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    apart = bounded(_across(posted, classes, components.components(edges(near))), classes, "apart")
-    wanted = near.unionByName(apart).select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "lead"), "cid")
+    first = bounded(_starred(posted, least).unionByName(inner), classes, "first")
+    _, more = connected(posted, classes, components.components(_edges(first)), lambda pairs: bounded(pairs, classes, "more"))
+    # What may link between the components of these pairs is among them; sets are made for their classes only.
+    near = first
+    for m in more:
+        near = near.unionByName(m)
+    wanted = near.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "lead"), "cid")
     wanted = store.written(wanted.select("cid", F.col("lead.doc_id").alias("__quire_id"), F.col("lead.text_hash").alias("__quire_hash")), "wanted")
     store.release(docs.sparkSession)
     texts = docs.select(F.col(key).cast("long").alias("__key"), F.xxhash64(F.col(text)).alias("__text"), F.col(text).alias("text"))
     texts = texts.join(wanted, F.col("__key").eqNullSafe(F.col("__quire_id")) & (F.col("__text") == F.col("__quire_hash"))).select("cid", "text").dropDuplicates(["cid"])
     sets = store.written(texts.mapInArrow(_sets, "cid bigint, items binary"), "sets")
     store.release(docs.sparkSession)
-    first = verified(near, sets, "first")
-    comps = components.components(edges(first))
-    # Second round: what a shingle or a group still holds of different components.
-    second = verified(bounded(_across(posted, classes, comps), classes, "second"), sets, "second")
-    if second.limit(1).count():
-        comps = components.components(comps.select("u", F.col("m").alias("v")).unionByName(edges(second)))
-    return comps
+    fresh = lambda pairs: _told(pairs).join(near, ["a", "b"], "left_anti")
+    judge = lambda pairs: verified(bounded(fresh(pairs), classes, "second"), sets, "second")
+    return connected(posted, classes, components.components(_edges(verified(near, sets, "first"))), judge)[0]
 
 
 def _classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:

@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The folder of spark.checkpoint.dir; a local one where that is unset and Spark has one machine, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all of them share")
         at = f"file://{tempfile.gettempdir()}/quire-shared"
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
