@@ -7,10 +7,11 @@ that are equal one class; groups that share a prefix shingle, and fit by size
 and by the places of that shingle, are expanded to their members and compared.
 
 A family of n near copies has n * n / 2 links, all in one component, so not all
-are verified. First every group is compared with the least groups of its
-shingles, and every class with the least of its group. Then, in rounds, what a
-shingle still holds of different components (parts of groups) is compared with
-one member of the shingle's largest component, another one in each round. When
+are verified. First every group is compared with the leaders of its shingles,
+groups most of whose prefix others have too, and every class with the least of
+its group. Then, in rounds, what a shingle still holds of different components
+(parts of groups) is compared with a leader out of the shingle's largest
+component, another one in each round. When
 rounds no longer halve what is left, or little is left, all pairs of parts of
 different components that share a shingle and fit are made distinct, expanded
 to their classes and compared. A pair that is never compared is one whose
@@ -53,7 +54,7 @@ RARE = 48
 #: Leaders that a group is compared with in each round.
 LEADERS = 2
 #: Pairs for each part of a shingle that count as little.
-LITTLE = 2
+LITTLE = 4
 #: Buckets of a set's counts, from which an intersection is bounded before sets are sent.
 CELLS = 512
 
@@ -305,6 +306,12 @@ def members(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return out
 
 
+def _common() -> F.Column:
+    """Share of a class's prefix that others have: a copy with few changes has a large one."""
+    n = F.col("n_shingles")
+    return F.size("shared") / (n - F.ceil(n * SIMILAR / 100) + 1)
+
+
 def _edges(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
@@ -324,10 +331,10 @@ def _parts(posted: DataFrame, classes: DataFrame, comps: DataFrame) -> tuple[Dat
     each shingle and part: (token, pos, lead, n, comp), with ``main``, the
     shingle's largest component, and ``share`` of its pairs between components.
     """
-    named = store.written(classes.select("grp", "cid", F.col("n_shingles").alias("n")).join(comps.withColumnRenamed("u", "cid"), "cid", "left").select("grp", "cid", "n", F.coalesce("m", "cid").alias("comp")), "named")
-    parts = store.written(named.groupBy("grp", "comp").agg(F.min("cid").alias("lead"), F.first("n").alias("n"), F.count("*").alias("k")), "parts")
-    by_token = posted.select("token", "pos", "grp").join(parts, "grp").select("token", "pos", "lead", "n", "comp", "k")
-    by_group = parts.select(F.xxhash64(F.lit("group"), "grp").alias("token"), F.lit(0).alias("pos"), "lead", "n", "comp", "k")
+    named = store.written(classes.select("grp", "cid", F.col("n_shingles").alias("n"), _common().alias("common")).join(comps.withColumnRenamed("u", "cid"), "cid", "left").select("grp", "cid", "n", "common", F.coalesce("m", "cid").alias("comp")), "named")
+    parts = store.written(named.groupBy("grp", "comp").agg(F.min("cid").alias("lead"), F.first("n").alias("n"), F.max("common").alias("common"), F.count("*").alias("k")), "parts")
+    by_token = posted.select("token", "pos", "grp").join(parts, "grp").select("token", "pos", "lead", "n", "common", "comp", "k")
+    by_group = parts.select(F.xxhash64(F.lit("group"), "grp").alias("token"), F.lit(0).alias("pos"), "lead", "n", "common", "comp", "k")
     slots = by_token.unionByName(by_group)
     k = F.col("k").cast("double")
     per = slots.groupBy("token", "comp").agg(F.sum(k).alias("k"), F.count("*").alias("slots")).groupBy("token")
@@ -363,7 +370,9 @@ def connected(posted: DataFrame, classes: DataFrame, comps: DataFrame, judge) ->
         if last:
             pairs = _rest(slots, members)
         else:
-            turn = F.struct(F.xxhash64(F.lit(len(found)), "lead"), "lead")
+            # The least of exponential variates whose rates grow with ``common``: a draw that prefers large ones.
+            even = (F.pmod(F.xxhash64(F.lit(len(found)), "lead"), F.lit(1 << 30)) + 1) / float(1 << 30)
+            turn = F.struct(-F.log(even) / F.pow("common", F.lit(8.0)), "lead")
             leaders = slots.where("comp = main").groupBy("token").agg(F.min_by(F.struct("lead", "n", "pos"), turn).alias("l"))
             pairs = _starred(slots.where("comp <> main"), leaders)
         links = judge(pairs)
@@ -381,12 +390,12 @@ def links(docs: DataFrame, rows: DataFrame, key: str = "doc_id", text: str = "te
     shared = rows.where(F.col("cells").isNotNull())
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("lead")
     classes = store.written(shared.groupBy("cid").agg(F.first("grp").alias("grp"), F.first("n_shingles").alias("n_shingles"), F.first("cells").alias("cells"), F.first("shared").alias("shared"), lead), "classes")
-    groups = classes.groupBy("grp").agg(F.min("cid").alias("lead"), F.first("n_shingles").alias("n"), F.first("shared").alias("shared"))
-    posted = groups.select("grp", "lead", "n", F.explode("shared").alias("t")).select(F.col("t.token").alias("token"), F.col("t.pos").alias("pos"), "grp", "lead", "n")
+    groups = classes.groupBy("grp").agg(F.min("cid").alias("lead"), F.first("n_shingles").alias("n"), F.first(_common()).alias("common"), F.first("shared").alias("shared"))
+    posted = groups.select("grp", "lead", "n", "common", F.explode("shared").alias("t")).select(F.col("t.token").alias("token"), F.col("t.pos").alias("pos"), "grp", "lead", "n", "common")
     posted = store.written(posted, "postings")
     store.release(docs.sparkSession)
-    # Of the least groups of its shingles each group meets those that it shares most with, each class the least of its group.
-    least = posted.groupBy("token").agg(F.min_by(F.struct("lead", "n", "pos"), "lead").alias("l"), F.count("*").alias("k")).where("k > 1")
+    # Of the leaders of its shingles each group meets those that it shares most with, each class the least of its group.
+    least = posted.groupBy("token").agg(F.max_by(F.struct("lead", "n", "pos"), F.struct("common", "lead")).alias("l"), F.count("*").alias("k")).where("k > 1")
     inner = classes.select("grp", F.col("cid").alias("b")).join(groups.select("grp", F.col("lead").alias("a")), "grp").select("a", "b")
     first = bounded(_starred(posted, least).unionByName(inner), classes, "first")
     _, more = connected(posted, classes, components.components(_edges(first)), lambda pairs: bounded(pairs, classes, "more"))
