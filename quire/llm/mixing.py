@@ -3,13 +3,18 @@
 Sizes are summed per source, a water level turns weights into targets, the
 ratio of target to size is the repetition rate, and each document is emitted
 floor(rate) times plus one more time with the fraction as probability. The
-draw is a hash of seed and id, so reruns agree on every machine.
+draw is a hash of seed, id, text and a number among the rows that have both
+alike, so that rows without ids, with one id, or that repeat are drawn apart,
+and reruns agree on every machine. Rows that have a twin are numbered by runs,
+those of one input partition, so no twin's rows meet in one task.
 
 A null source is a source of its own, last in the order. A null text has size
-0. Rows that repeat are separate rows with equal draws. A source without words
+0 and counts as empty. Which of several equal rows gets the copy depends on the
+layout of the input, how many get one doesn't. A source without words
 has target 0 and its documents are emitted no time. An empty table gives an
 empty mix. Of the input's columns, those that are not named here are not read
-by ``plan`` and are kept as they are by ``mix``.
+by ``plan`` and are kept as they are by ``mix``; working columns begin with
+``__quire_mix``.
 """
 
 from __future__ import annotations
@@ -33,10 +38,35 @@ def n_words(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def draw(key, seed: str = SEED) -> F.Column:
+def digest(text) -> F.Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def draw(key, text_digest, number, seed: str = SEED) -> F.Column:
     """A number in [0, 1) from the first 48 bits of a SHA-256."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))
-    return F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+    said = F.concat_ws(":", F.lit(seed), F.coalesce(key.cast("string"), F.lit("")), text_digest, number.cast("string"))
+    return F.conv(F.substring(F.sha2(said, 256), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+
+
+def numbered(rows: DataFrame, key: str, told: str, place: str, row: str) -> DataFrame:
+    """rows with ``__quire_mix_number``: 0, 1 .. among those of one key and digest ``told``, by place and row.
+
+    Only rows with a twin go through windows: one over the rows of a place, one
+    over a row for each place.
+    """
+    twins = rows.groupBy(F.col(key).alias("__quire_mix_k"), F.col(told).alias("__quire_mix_t")).agg(F.count("*").alias("__quire_mix_n")).where("__quire_mix_n > 1").select("__quire_mix_k", "__quire_mix_t")
+    twins = store.written(twins, "mix-twins")
+    if not twins.limit(1).count():
+        return rows.withColumn("__quire_mix_number", F.lit(0).cast("long"))
+    same = F.col(key).eqNullSafe(F.col("__quire_mix_k")) & (F.col(told) == F.col("__quire_mix_t"))
+    alone = rows.join(twins, same, "left_anti").withColumn("__quire_mix_number", F.lit(0).cast("long"))
+    several = rows.join(twins, same, "left_semi")
+    runs = several.groupBy(F.col(key).alias("__quire_mix_k"), F.col(told).alias("__quire_mix_t"), F.col(place).alias("__quire_mix_p")).agg(F.count("*").alias("n"))
+    before = W.partitionBy("__quire_mix_k", "__quire_mix_t").orderBy("__quire_mix_p").rowsBetween(W.unboundedPreceding, -1)
+    runs = runs.withColumn("__quire_mix_from", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    own = F.row_number().over(W.partitionBy(key, told, place).orderBy(row)) - 1
+    several = several.withColumn("__quire_mix_own", own).join(runs, same & (F.col(place) == F.col("__quire_mix_p")))
+    return alone.unionByName(several.withColumn("__quire_mix_number", (F.col("__quire_mix_from") + F.col("__quire_mix_own")).cast("long")).select(*rows.columns, "__quire_mix_number"))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -59,24 +89,33 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     return per.select("source", "source_size", F.least(F.col("cap"), F.col("weight") * F.coalesce(level, F.lit(float("inf")))).alias("target"))
 
 
+def _rates(sizes: DataFrame, **how) -> DataFrame:
+    """A written row for each source, which is small enough to know before the join."""
+    goal = targets(sizes, **how).withColumnRenamed("source", "__quire_mix_source")
+    return store.written(goal.withColumn("__quire_mix_rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))), "mix-rates")
+
+
+def _copies(key, told, seed: str) -> F.Column:
+    rate = F.col("__quire_mix_rate")
+    return F.floor(rate) + (draw(key, told, F.col("__quire_mix_number"), seed) < rate - F.floor(rate)).cast("long")
+
+
 def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: str = SEED, **how) -> DataFrame:
     """(key, size, source_size, target, copies) for every row; the texts are read once."""
-    sizes = store.written(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")), "mix-sizes")
-    goal = targets(sizes, **how).withColumnRenamed("source", "of_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    both = sizes.join(goal, F.col("source").eqNullSafe(F.col("of_source")), "left").withColumn("rate", rate)
-    copies = F.floor("rate") + (draw(F.col("key"), seed) < F.col("rate") - F.floor("rate")).cast("long")
-    return both.select(F.col("key").alias(key), "size", "source_size", "target", copies.alias("copies"))
+    sizes = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), digest(F.col(text)).alias("told"), F.spark_partition_id().alias("place"), F.monotonically_increasing_id().alias("row"))
+    sizes = store.written(sizes, "mix-sizes")
+    both = numbered(sizes, "key", "told", "place", "row").join(_rates(sizes, **how), F.col("source").eqNullSafe(F.col("__quire_mix_source")), "left")
+    return both.select(F.col("key").alias(key), "size", "source_size", "target", _copies(F.col("key"), F.col("told"), seed).alias("copies"))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: str = SEED, **how) -> DataFrame:
     """The rows of docs, each as often as the plan says; columns and their order stay."""
-    sizes = docs.select(F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
-    goal = targets(sizes, **how).select(F.col("source").alias("__quire_source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("__quire_rate"))
-    both = docs.join(goal, F.col(source).eqNullSafe(F.col("__quire_source")), "left")
-    copies = F.floor("__quire_rate") + (draw(F.col(key), seed) < F.col("__quire_rate") - F.floor("__quire_rate")).cast("long")
-    both = both.withColumn("__quire_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
-    return both.select(*(F.col(f"`{c}`") for c in docs.columns))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rates = _rates(docs.select(F.col(source).alias("source"), n_words(F.col(text)).alias("size")), **how).select("__quire_mix_source", "__quire_mix_rate")
+    rows = docs.withColumns({"__quire_mix_told": digest(F.col(text)), "__quire_mix_place": F.spark_partition_id(), "__quire_mix_row": F.monotonically_increasing_id()})
+    both = numbered(rows, key, "__quire_mix_told", "__quire_mix_place", "__quire_mix_row").join(rates, F.col(source).eqNullSafe(F.col("__quire_mix_source")), "left")
+    both = both.withColumn("__quire_mix_copy", F.explode(F.array_repeat(F.lit(1), _copies(F.col(key), F.col("__quire_mix_told"), seed).cast("int"))))
+    return both.select(*names)
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +134,8 @@ levels AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap)
 goal AS (SELECT source, source_size, least(cap, weight * coalesce(max(CASE WHEN stop >= level THEN level END) OVER (), 'inf'::DOUBLE)) AS target FROM levels),
 rates AS (SELECT s.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0.0::DOUBLE END AS rate
   FROM sizes s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source),
-mixed AS (SELECT *, (floor(rate) + CASE WHEN ('0x' || substr(sha256('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies FROM rates)
+told AS (SELECT *, sha256(coalesce(text, '')) AS digest, row_number() OVER (PARTITION BY doc_id, sha256(coalesce(text, ''))) - 1 AS number FROM rates),
+mixed AS (SELECT *, (floor(rate) + CASE WHEN ('0x' || substr(sha256('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || digest || ':' || number), 1, 12))::BIGINT / 281474976710656.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies FROM told)
 """
 
 OP4_SQL = "WITH " + PLAN_SQL.format(docs="documents") + "SELECT doc_id, size, source_size, target, size * copies AS taken FROM mixed"
