@@ -7,8 +7,9 @@ finest cells, and the sums of every shorter prefix follow from those, so no
 level reads the documents again. Cells that are still too large are refined by
 all further bits of the hash; what shares a whole hash
 (rows that repeat, rows with one id) can't be told apart by bits, and is dealt
-to numbered pages of the bucket, as with overflow pages. A single document over
-the limit has a page of its own and ``oversize`` set.
+to numbered pages of the bucket, as with overflow pages, in as many runs as its
+bytes need. Which page such a row gets depends on the layout of the input. A
+single document over the limit has a page of its own and ``oversize`` set.
 
 A null id is an id like any other, a null text has no bytes. An empty table
 gives an empty result. Other columns are kept by ``shard`` and not looked at.
@@ -55,7 +56,7 @@ def _leaves(cells: DataFrame, start: int, end: int, limit: int) -> DataFrame:
 
 
 def _dense(leaves: DataFrame, end: int) -> DataFrame:
-    """The bucket of each of the 2**end cells, by spreading every bucket over its cells."""
+    """The bucket of each of the 2**end cells, by spreading every bucket over its cells; ``assign`` bounds them by the rows."""
     width = F.expr(f"shiftleft(1L, {end} - depth)")
     return leaves.select(F.explode(F.sequence(F.col("bits") * width, (F.col("bits") + 1) * width - 1)).alias("cell"), "depth", "bits", "bytes")
 
@@ -70,14 +71,14 @@ def assign(rows: DataFrame, limit: int) -> DataFrame:
     """rows (with __hash and __bytes) and depth, shard_id, shard_bytes, oversize.
 
     Cells are about a 64th of a shard, so nearly every bucket is found among
-    them. Cells that are too large by themselves hold heavy ids or texts; their
+    them, but no more than twice the rows, however large these are. Cells that are too large by themselves hold heavy ids or texts; their
     hashes, taken whole, are the cells of a second ladder.
     """
     names = rows.columns
-    rows = store.written(rows.withColumn("__quire_salt", F.pmod(F.monotonically_increasing_id(), F.lit(256))), "shard-rows")
-    total = rows.agg(F.sum("__quire_bytes")).first()[0] or 0
+    rows = store.written(rows.withColumn("__quire_row", F.monotonically_increasing_id()), "shard-rows")
+    total, n = rows.agg(F.coalesce(F.sum("__quire_bytes"), F.lit(0)), F.count("*")).first()
     fine = 1
-    while fine < BITS and (total >> fine) > limit >> 6:
+    while fine < BITS and (total >> fine) > limit >> 6 and 1 << fine < n:
         fine += 1
     cells = rows.groupBy(prefix(F.col("__quire_hash"), fine).alias("cell")).agg(F.sum("__quire_bytes").alias("bytes"))
     first = store.written(_dense(_leaves(cells, 0, fine, limit), fine), "shard-cells")
@@ -90,7 +91,8 @@ def assign(rows: DataFrame, limit: int) -> DataFrame:
     name = F.concat_ws("-", F.lpad(F.col("__quire_b.depth").cast("string"), 2, "0"), F.lpad(F.lower(F.hex("__quire_b.bits")), BITS // 4, "0"))
     keep = [F.col(f"`{c}`") for c in names]
     fits = both.where(F.col("__quire_b.bytes") <= limit).select(*keep, F.col("__quire_b.depth").alias("depth"), name.alias("shard_id"), F.col("__quire_b.bytes").alias("shard_bytes"), F.lit(False).alias("oversize"))
-    # What shares a whole hash: salted runs, so that none holds all of a hot id, and pages of so many rows as fit at the run's largest size.
+    # What shares a whole hash: salted runs of about eight shards, so that none holds all of a hot id, and pages of so many rows as fit at the run's largest size.
+    both = both.withColumn("__quire_salt", F.pmod(F.col("__quire_row"), F.ceil(F.col("__quire_b.bytes") / F.lit(8 * limit))))
     run = W.partitionBy("__quire_hash", "__quire_salt")
     each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.max("__quire_bytes").over(run), F.lit(1))))
     over = both.where(F.col("__quire_b.bytes") > limit).withColumn("__quire_each", each).withColumn("__quire_page", F.floor((F.row_number().over(run.orderBy("__quire_bytes")) - 1) / F.col("__quire_each")))
