@@ -13,7 +13,8 @@ the executors, with a model of fixed size.
 Null and empty texts have a zero vector and get the score of the thresholds
 alone; they are rejected by the text rule (no word, no document). With one
 grade in the labels, or none, everything with a word is kept. Repeated rows
-score alike; other columns are not looked at.
+score alike; other columns are not looked at. Of several texts with one rated
+id one is fitted on. Very long texts are one vector like any other.
 """
 
 from __future__ import annotations
@@ -156,7 +157,7 @@ def _vectors(batches, key, text):
     for batch in batches:
         for piece in X.pieces(batch, text):
             v = vectors(*X.utf8(piece.column(text))).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([piece.column(key), pa.array([r.tobytes() for r in v], pa.binary())], [key, "v"])
+            yield pa.RecordBatch.from_arrays([piece.column(key), piece.column("h"), pa.array([r.tobytes() for r in v], pa.binary())], [key, "h", "v"])
 
 
 def train(docs: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str = "text", grade: str = "quality", most: int = MOST) -> Model | None:
@@ -164,10 +165,9 @@ def train(docs: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str =
     known = sample.labelled(ratings, grade, most, key)
     if len(set(known.values())) < 2:
         return None
-    rows = sample.texts_of(docs.select(key, text), list(known), key).mapInArrow(lambda b: _vectors(b, key, text), f"`{key}` {dict(docs.dtypes)[key]}, v binary").collect()
-    rows.sort(key=lambda r: (r[0], bytes(r[1])))
-    x = np.stack([np.frombuffer(bytes(r[1]), np.float16) for r in rows]).astype(np.float32) if rows else np.zeros((0, SIZE), np.float32)
-    return fit(x, np.array([known[r[0]] for r in rows], np.int64))
+    rows = sample.features(docs, known, lambda b: _vectors(b, key, text), key, text)
+    x = np.stack([np.frombuffer(v, np.float16) for _, v in rows]).astype(np.float32) if rows else np.zeros((0, SIZE), np.float32)
+    return fit(x, np.array([known[i] for i, _ in rows], np.int64))
 
 
 def judge_batches(batches, keep: list[str], text: str, model: Model | None, names: list[str]):

@@ -31,9 +31,18 @@ def labelled(labels: DataFrame, value: str, most: int, key: str = "doc_id", wher
     return out
 
 
-def texts_of(docs: DataFrame, ids: list, key: str = "doc_id") -> DataFrame:
-    """The rows of docs with one of ``ids``; the broadcast side has as many rows as the sample's bound."""
-    if not ids:
-        return docs.limit(0)
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], f"__id {dict(docs.dtypes)[key]}")
-    return docs.join(F.broadcast(wanted), F.col(key) == F.col("__id"), "left_semi")
+def features(docs: DataFrame, known: dict, vectors, key: str = "doc_id", text: str = "text") -> list[tuple]:
+    """(id, vector) of the sampled ids, in order. vectors: batches of (key, text, h) -> batches of (key, h, v).
+
+    Of several rows with one id the one whose text has the least hash counts,
+    and copies of an id's texts are merged before the shuffle, so the driver gets
+    one vector for each id. The broadcast side has as many rows as the sample's
+    bound.
+    """
+    if not known:
+        return []
+    kind = dict(docs.dtypes)[key]
+    wanted = docs.sparkSession.createDataFrame([(i,) for i in known], f"__id {kind}")
+    rows = docs.select(key, text, F.xxhash64(F.col(text)).alias("h")).join(F.broadcast(wanted), F.col(key) == F.col("__id"), "left_semi")
+    rows = rows.mapInArrow(vectors, f"`{key}` {kind}, h bigint, v binary").groupBy(key).agg(F.min_by("v", "h").alias("v"))
+    return sorted((r[0], bytes(r[1])) for r in rows.collect())

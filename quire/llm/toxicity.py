@@ -12,9 +12,11 @@ serves as nothing but the choice of a threshold: the logit is shifted so that
 the threshold comes to stand at CUT.
 
 The model is fitted on the driver from a bounded sample of labelled rows (MOST
-of each label), all of their whole texts. Null and empty texts have no word and
-get the score of no response. With one label, or none, the score is 0. Rows
-that repeat score alike.
+of each label), of whole texts up to FIT_WORDS words; of longer ones runs that
+lie evenly over the text are fitted on. Every document is scored over its whole
+text. Null and empty texts have no word and get the score of no response. With
+one label, or none, the score is 0. Rows that repeat score alike; of several
+texts with one labelled id one is fitted on. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from quire.llm import text as X
 
 #: Labelled rows of each label that are fitted on, at most.
 MOST = 1500
+#: Words of a text that are fitted on, at most, and in how many runs; all words are scored.
+FIT_WORDS, FIT_RUNS = 1 << 15, 64
 BUCKETS = 1 << 14
 DIM, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
 CUT = 0.7
@@ -229,12 +233,22 @@ def calibrate(net: Net, texts: list[np.ndarray], y: np.ndarray) -> None:
         net.shift[k] = best(z[own], y[own]) if (y[own] == 1).sum() >= 15 and (y[own] == 0).sum() >= 15 else everywhere
 
 
+def _spread(ids: np.ndarray) -> np.ndarray:
+    """All of a text's words, or FIT_RUNS runs of them that lie evenly over it and have FIT_WORDS in all."""
+    n = ids.shape[1]
+    if n <= FIT_WORDS:
+        return ids
+    run = FIT_WORDS // FIT_RUNS
+    start = np.arange(FIT_RUNS) * (n - run) // (FIT_RUNS - 1)
+    return ids[:, (start[:, None] + np.arange(run)[None, :]).ravel()]
+
+
 def _ids(batches, key, text):
     for batch in batches:
         for piece in X.pieces(batch, text):
             ids, first = word_ids(*X.utf8(piece.column(text)))
-            packed = [ids[:, a:b].astype(np.uint16).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([piece.column(key), pa.array(packed, pa.binary())], [key, "v"])
+            packed = [_spread(ids[:, a:b]).astype(np.uint16).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([piece.column(key), piece.column("h"), pa.array(packed, pa.binary())], [key, "h", "v"])
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST, allowed=None) -> Net | None:
@@ -242,10 +256,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     known = sample.labelled(labels, label, most, key, allowed)
     if not {0, 1} <= set(known.values()):
         return None
-    rows = sample.texts_of(docs.select(key, text), list(known), key).mapInArrow(lambda b: _ids(b, key, text), f"`{key}` {dict(docs.dtypes)[key]}, v binary").collect()
-    rows.sort(key=lambda r: (r[0], bytes(r[1])))
-    texts = [np.frombuffer(bytes(r[1]), np.uint16).reshape(3, -1).astype(np.int32) for r in rows]
-    y = np.array([known[r[0]] for r in rows], np.int64)
+    rows = sample.features(docs, known, lambda b: _ids(b, key, text), key, text)
+    texts = [np.frombuffer(v, np.uint16).reshape(3, -1).astype(np.int32) for _, v in rows]
+    y = np.array([known[i] for i, _ in rows], np.int64)
+    if not {0, 1} <= set(y.tolist()):
+        return None
     held = np.arange(len(y)) % 5 == 4
     net = fit([t for t, h in zip(texts, held, strict=True) if not h], y[~held])
     calibrate(net, [t for t, h in zip(texts, held, strict=True) if h], y[held])
