@@ -13,7 +13,7 @@ names. The steps, each linear in the input:
 4. find: each shard builds its index and returns the windows that begin earlier elsewhere;
 5. mark: each slice cuts the covered symbols out of its documents.
 
-A slice is about a megabyte of documents, dealt by a hash of the id, so text is
+A slice is about a megabyte of documents, dealt by a hash of id and text, so text is
 shuffled once and that shuffle is read three times. A frequent name costs one
 entry a slice, however many documents have it. Names with more than ``Kind.hot``
 distinct segments (a passage with many surroundings) would fill a shard: their
@@ -21,7 +21,10 @@ windows are dealt by a hash of the whole window instead and compared there one
 by one, which gives the same result. Nothing is dropped or sampled.
 
 Documents are in the order of their ids, null ids first; rows of one id follow
-each other in the order of their texts. Null texts are empty.
+each other in the order of a hash of their texts, then of repeated rows. Null
+texts are empty. A very long text is a slice of its own. Names, and whole
+segments of at most twice the window, are told by 64-bit hashes (``quire.llm.text``):
+among n distinct ones two agree with a chance of n * n / 2**65.
 """
 
 from __future__ import annotations
@@ -78,25 +81,14 @@ def load(table: pa.Table, kind: Kind) -> Slice:
     doc = np.asarray(ids.fill_null(0), np.int64).copy()
     doc[null] = NULL_ID
     buf, off = X.utf8(table.column("text"))
-    order = np.argsort(doc, kind="stable")
+    h = np.asarray(table.column("tie"), np.int64) >> 10 << 10
+    order = np.lexsort((h, doc))
+    d, hs = doc[order], h[order]
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (hs[1:] != hs[:-1])
+    run = np.flatnonzero(new)
     tie = np.zeros(len(doc), np.int64)
-    d = doc[order]
-    twin = np.zeros(len(d), bool)
-    twin[1:] = d[1:] == d[:-1]
-    twin[:-1] |= twin[1:]
-    if twin.any() or null.any():  # rows of one id, in the order of a hash of their texts, then of equal ones
-        h = (X.range_hash(X.prefix_sums(X.BYTE[buf]), off[:-1], off[1:]) >> np.uint64(12)).astype(np.int64) << np.int64(10)
-        order = np.lexsort((h, doc))
-        d, hs = doc[order], h[order]
-        copy = np.zeros(len(d), np.int64)
-        for i in range(1, len(d)):
-            if d[i] == d[i - 1] and hs[i] == hs[i - 1]:
-                copy[i] = copy[i - 1] + 1
-        many = np.zeros(len(d), bool)
-        many[1:] = d[1:] == d[:-1]
-        many[:-1] |= many[1:]
-        many |= null[order]
-        tie[order] = np.where(many, hs + copy, 0)
+    tie[order] = hs + np.arange(len(d)) - run[np.cumsum(new) - 1]
     length = np.diff(off)
     row, place = X.ragged(length[order])
     buf = buf[off[:-1][order][row] + place] if len(row) else buf[:0]
@@ -339,26 +331,21 @@ def find(table: pa.Table, kind: Kind) -> pa.Table:
         strings = data[begin[reps][row] + place]
         gone = kind.find(strings, length[reps], doc[reps], tie[reps], pos[reps], kind.window)
         row, place = X.ragged(count[reps])
-        edge = np.zeros(len(gone) + 1, np.int8)
         starts_row = np.zeros(len(gone), bool)
         starts_row[np.cumsum(count[reps]) - count[reps]] = True
         opens = gone & (starts_row | ~np.concatenate([[False], gone[:-1]]))
         closes = gone & (np.concatenate([starts_row[1:], [True]]) | ~np.concatenate([gone[1:], [False]]))
         a, b = np.flatnonzero(opens), np.flatnonzero(closes)
-        del edge
         own = reps[row[a]]
         give(slices[own], at[own], place[a], place[b] + 1)
-        # A segment of equal text in the same id, elsewhere in another slice, can't be: one id has one slice, unless it is null.
-        if not kind.within:
-            same = order[(~first) & (doc[order] == doc[lead])]
-            if len(same):
-                of = {int(r): k for k, r in enumerate(reps)}
-                leads = lead[(~first) & (doc[order] == doc[lead])]
-                for i, r in zip(same.tolist(), leads.tolist(), strict=True):
-                    if r in of:
-                        mine = own == r
-                        m = int(mine.sum())
-                        give(np.full(m, slices[i]), np.full(m, at[i]), place[a][mine], place[b][mine] + 1)
+        # Equal segments of rows with one id fare as the first of them.
+        same = np.flatnonzero(~first & (doc[order] == doc[lead])) if not kind.within else ()
+        if len(same):
+            by = np.argsort(own, kind="stable")
+            lo, hi = np.searchsorted(own[by], lead[same]), np.searchsorted(own[by], lead[same], "right")
+            row, k = X.ragged(hi - lo)
+            of, to = by[lo[row] + k], order[same][row]
+            give(slices[to], at[to], place[a][of], place[b][of] + 1)
     rows = [(k, np.concatenate(v).tobytes()) for k, v in sorted(out.items())]
     return _table(rows, ["slice", "spans"], [pa.int64(), pa.binary()])
 
@@ -424,8 +411,8 @@ def repeats(docs: DataFrame, kind: Kind, key: str = "doc_id", text: str = "text"
     """(doc_id, n_symbols, starts, ends, kept) of every row: the removed runs of symbols, and what remains."""
     total = docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
     slices, groups, shards = (max(1, -(-total // x)) for x in (SLICE, NAMES * kind.window // 16, SHARD))
-    own = F.pmod(F.when(F.col(key).isNull(), F.xxhash64(F.lit("null"), F.col(text))).otherwise(F.xxhash64(F.col(key))), F.lit(slices))
-    rows = docs.select(own.alias("slice"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    own = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(slices))
+    rows = docs.select(own.alias("slice"), F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("tie"), F.col(text).alias("text"))
     asked = rows.groupBy("slice").applyInArrow(lambda t: ask(t, kind, groups), ASK)
     answers = asked.groupBy("grp").applyInArrow(lambda t: answer(t, kind), ANSWER)
     sent = rows.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(lambda a, b: send(a, b, kind, shards), SEND)
