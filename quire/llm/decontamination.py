@@ -5,8 +5,10 @@ frequencies are counted over all documents. A randomised decomposition of the
 passage matrix gives a latent basis: every task multiplies the Gram matrix of
 its passages with one random test matrix, the products are added up, and the
 singular directions follow from the sum (single pass, Nystroem). They are
-stacked, with a weight, under the benchmark's own passages, so the basis holds
-the directions of both. Passages of
+stacked, with a weight, under the benchmark's own passages; of the singular
+directions of both the first are kept, as many as hold ENERGY of the weight of
+every passage of the benchmark: a passage whose direction is left out is not
+found, and passages that have nothing in common need a direction each. Passages of
 documents are then projected; those whose cosine to a benchmark passage in the
 latent space reaches NEAR are candidates. Around each candidate the longest
 common subsequence of words with the item is taken: a share of STRONG is a
@@ -22,16 +24,20 @@ around them; its cosine is 1 where no latent one reached NEAR.
 A projected word's product with each benchmark passage is one number; nearly
 all are close to zero. The large ones are kept as a list for each word, the
 largest of the others bounds what they can add, and only passages that may
-reach NEAR by that bound are projected in full, so none is lost. A benchmark is worked off in blocks whose passages and
-corpus directions are at most RANK, so the basis leaves none out, and whose
-words are at most VOCABULARY. An item with more passages has a group of blocks
-of its own, worked off in one pass. What is broadcast has a fixed bound for each
-block: items, basis (VOCABULARY words by RANK), and counters.
+reach NEAR by that bound are projected in full, so none is lost. A benchmark is
+worked off in blocks whose passages and corpus directions are at most RANK and
+whose words are at most VOCABULARY, each with a latent space of its own. PASS
+blocks are sketched in one scan of the documents and searched in another; an
+item with more passages than a block has a pass of its own. What is broadcast has
+a fixed bound for each block: items, basis (VOCABULARY words by RANK), and
+counters.
 
 Words are runs of letters in lower case. Null and empty texts, and items
 without words, match nothing. Items under eight words need nine tenths of their
 words in order. Repeated rows and items match each by itself; an empty table on
-either side gives an empty result. Other columns are not looked at.
+either side gives an empty result. Very long texts are searched whole, a piece of the
+batch by themselves; long items have several passages. Other columns, whatever
+their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -51,6 +57,10 @@ WIDTH, STRIDE = 32, 16
 ITEM_WIDTH, ITEM_STRIDE = 96, 48
 COUNTERS = 1 << 18
 RANK, VOCABULARY = 256, 1 << 14
+#: Share of the squared weight of each of a block's passages that its latent space holds.
+ENERGY = 0.8
+#: Blocks of one scan.
+PASS = 8
 #: Words in more than this share of documents don't count, but for passages that they make up.
 STOP = 0.2
 #: First words of an item by which copies of it are looked up; of shorter items all.
@@ -123,6 +133,7 @@ def idf_table(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarr
 class Copies:
     """Items by the hash of their first words, for each number of those."""
 
+    words: list[np.ndarray]
     length: np.ndarray
     whole: np.ndarray
     anchors: dict[int, tuple[np.ndarray, np.ndarray]]  # sorted hashes, item of each
@@ -136,7 +147,7 @@ class Copies:
             items = np.flatnonzero(width == w)
             items = items[np.argsort(hashes[items], kind="stable")]
             anchors[w] = hashes[items], items
-        return Copies(n, X.range_hash(sums, begin, first[1:]), anchors)
+        return Copies([h[a:b] for a, b in zip(begin, first[1:], strict=True)], n, X.range_hash(sums, begin, first[1:]), anchors)
 
     def found(self, h: np.ndarray, first: np.ndarray) -> set[tuple[int, int]]:
         """(row, item) of all items that stand in a text word by word."""
@@ -156,8 +167,10 @@ class Copies:
             fits = at + self.length[n] <= stop[at]
             at, n = at[fits], n[fits]
             same = X.range_hash(sums, at, at + self.length[n]) == self.whole[n]
-            rows = np.searchsorted(first, at[same], "right") - 1
-            out |= set(zip(rows.tolist(), n[same].tolist(), strict=True))
+            at, n = at[same], n[same]
+            for x in set(zip((np.searchsorted(first, at, "right") - 1).tolist(), n.tolist(), at.tolist(), strict=True)):
+                if x[:2] not in out and np.array_equal(h[x[2] : x[2] + self.length[x[1]]], self.words[x[1]]):
+                    out.add(x[:2])
         return out
 
 
@@ -172,6 +185,8 @@ class Block:
     passages: np.ndarray  # benchmark passage x vocabulary, TF-IDF
     item: np.ndarray  # of each passage
     basis: np.ndarray | None = None
+    #: Place of the first item among those of the pass.
+    offset: int = 0
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
         """Place in the vocabulary; its length for other words."""
@@ -244,57 +259,72 @@ def make_block(items: list[tuple[object, str | None]], idf: np.ndarray, part: sl
     return block
 
 
-def _sketched(batches, text, block: Block, test: np.ndarray):
-    """The Gram matrix of this task's passages times the test matrix, with its trace behind."""
-    d, r = test.shape
-    total, trace = np.zeros((d, r)), 0.0
-    padded = np.vstack([test, np.zeros((1, r), np.float32)])
+def _add_sketch(h: np.ndarray, first: np.ndarray, block: Block, padded: np.ndarray, total: np.ndarray) -> float:
+    """Adds the Gram matrix of the passages, times the test matrix, to total; gives its trace."""
+    d, trace = len(total), 0.0
+    k, w = block.lookup(h), block.idf[_bucket(h)]
+    hit = (k < d) & (w > 0)
+    _, start, end = windows(first, WIDTH, WIDTH)
+    sums = np.concatenate([[0], np.cumsum(hit)])
+    a, b = sums[start], sums[end]
+    kk, ww = k[hit], w[hit]
+    some = b > a
+    row, place = X.ragged((b - a)[some])
+    at = a[some][row] + place
+    if not len(at):
+        return trace
+    begin = np.cumsum((b - a)[some]) - (b - a)[some]
+    for lo in range(0, len(begin), 4096):
+        x = slice(begin[lo], begin[lo + 4096] if lo + 4096 < len(begin) else len(at))
+        y = np.add.reduceat(padded[kk[at[x]]] * ww[at[x]][:, None], begin[lo : lo + 4096] - begin[lo], axis=0)
+        order = np.argsort(kk[at[x]], kind="stable")
+        ks = kk[at[x]][order]
+        edge = np.flatnonzero(np.concatenate([[True], ks[1:] != ks[:-1]]))
+        total[ks[edge]] += np.add.reduceat((y[row[x] - lo] * ww[at[x]][:, None])[order], edge, axis=0)
+        trace += float((ww[at[x]].astype(np.float64) ** 2).sum())
+    return trace
+
+
+def _sketched(batches, text, blocks: list[Block], tests: list[np.ndarray]):
+    """For each block its sketch of this task's passages, with the trace behind, one after the other."""
+    padded = [np.vstack([t, np.zeros((1, t.shape[1]), np.float32)]) for t in tests]
+    totals, traces = [np.zeros(t.shape) for t in tests], [0.0] * len(tests)
     for batch in batches:
         for piece in X.pieces(batch, text, X.PIECE // 2):
             h, first = word_hashes(*X.utf8(piece.column(text)))
-            k, w = block.lookup(h), block.idf[_bucket(h)]
-            hit = (k < d) & (w > 0)
-            _, start, end = windows(first, WIDTH, WIDTH)
-            sums = np.concatenate([[0], np.cumsum(hit)])
-            a, b = sums[start], sums[end]
-            kk, ww = k[hit], w[hit]
-            some = b > a
-            row, place = X.ragged((b - a)[some])
-            at = a[some][row] + place
-            if not len(at):
-                continue
-            begin = np.cumsum((b - a)[some]) - (b - a)[some]
-            for lo in range(0, len(begin), 4096):
-                x = slice(begin[lo], begin[lo + 4096] if lo + 4096 < len(begin) else len(at))
-                y = np.add.reduceat(padded[kk[at[x]]] * ww[at[x]][:, None], begin[lo : lo + 4096] - begin[lo], axis=0)
-                order = np.argsort(kk[at[x]], kind="stable")
-                ks = kk[at[x]][order]
-                edge = np.flatnonzero(np.concatenate([[True], ks[1:] != ks[:-1]]))
-                total[ks[edge]] += np.add.reduceat((y[row[x] - lo] * ww[at[x]][:, None])[order], edge, axis=0)
-                trace += float((ww[at[x]].astype(np.float64) ** 2).sum())
-    yield from _chunks(np.concatenate([total.reshape(-1), [trace]]))
-
-
-def fit_basis(docs: DataFrame, block: Block, text: str = "text", rank: int = RANK, seed: int = 11) -> None:
-    """Sets the block's basis: right singular vectors of its passages over those of all documents, with weight CORPUS."""
-    d = len(block.vocabulary)
-    r = min(CORPUS_RANK, d)
-    if not r:
+            for i, block in enumerate(blocks):
+                traces[i] += _add_sketch(h, first, block, padded[i], totals[i])
+    yield from _chunks(np.concatenate([np.append(t.reshape(-1), x) for t, x in zip(totals, traces, strict=True)]))
+
+
+def directions(own: np.ndarray, root: np.ndarray, energy: float = ENERGY) -> np.ndarray:
+    """The first right singular vectors of ``own`` over ``root``, as columns, that hold ``energy`` of the squared weight of each row of own."""
+    norms = np.sqrt(np.square(own).sum(1))
+    unit = own[norms > 0] / norms[norms > 0][:, None]
+    _, _, vt = np.linalg.svd(np.vstack([unit / max(1.0, np.sqrt(len(unit))), np.sqrt(CORPUS) * root]), full_matrices=False)
+    held = np.cumsum(np.square(unit @ vt.T), axis=1) >= energy - 1e-9
+    return vt[: int(held.argmax(1).max(initial=0)) + 1].T
+
+
+def fit_bases(docs: DataFrame, blocks: list[Block], text: str = "text", rank: int = RANK, seed: int = 11) -> None:
+    """Sets the bases of blocks: singular directions of their passages over those of all documents, with weight CORPUS."""
+    blocks = [b for b in blocks if len(b.vocabulary)]
+    if not blocks:
         return
-    test = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, r)))[0].astype(np.float32)
-    flat = summed(docs.select(text).mapInArrow(lambda b: _sketched(b, text, block, test), "part int, v binary"), d * r + 1)
-    y, trace = flat[:-1].reshape(d, r), max(1e-9, flat[-1])
-    y /= trace
-    shift = 1e-8 * np.linalg.norm(y) + 1e-12
-    y += shift * test
-    core = test.T @ y
-    low = np.linalg.cholesky((core + core.T) / 2 + shift * np.eye(r))
-    root = np.linalg.solve(low, y.T)  # root.T @ root is the corpus's Gram matrix, as far as the sketch saw it
-    own = block.passages.astype(np.float64)
-    _, _, vt = np.linalg.svd(np.vstack([own / max(1e-9, np.linalg.norm(own)), np.sqrt(CORPUS) * root]), full_matrices=False)
-    if len(vt) > rank:
-        raise ValueError(f"a block has {len(vt)} directions, over {rank}")
-    block.basis = vt.T.astype(np.float32)
+    tests = [np.linalg.qr(np.random.default_rng(seed).normal(size=(len(b.vocabulary), min(CORPUS_RANK, len(b.vocabulary)))))[0].astype(np.float32) for b in blocks]
+    flat = summed(docs.select(text).mapInArrow(lambda bs: _sketched(bs, text, blocks, tests), "part int, v binary"), sum(t.size + 1 for t in tests))
+    for block, test in zip(blocks, tests, strict=True):
+        (d, r), part, flat = test.shape, flat[: test.size + 1], flat[test.size + 1 :]
+        y = part[:-1].reshape(d, r) / max(1e-9, part[-1])
+        shift = 1e-8 * np.linalg.norm(y) + 1e-12
+        y = y + shift * test
+        core = test.T @ y
+        low = np.linalg.cholesky((core + core.T) / 2 + shift * np.eye(r))
+        root = np.linalg.solve(low, y.T)  # root.T @ root is the corpus's Gram matrix, as far as the sketch saw it
+        basis = directions(block.passages.astype(np.float64), root)
+        if basis.shape[1] > rank:
+            raise ValueError(f"a block has {basis.shape[1]} directions, over {rank}")
+        block.basis = basis.astype(np.float32)
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -342,8 +372,8 @@ class Products:
 def products(block: Block) -> tuple[Products, np.ndarray]:
     """Products, a row of zeros behind them for other words; and the item of each passage that has a direction."""
     q = block.passages @ block.basis
-    norms = np.sqrt((block.passages**2).sum(1))
-    some = norms > 0
+    norms = np.sqrt((q**2).sum(1))
+    some = norms > 1e-6 * np.sqrt((block.passages**2).sum(1))
     dense = block.basis @ (q[some] / norms[some][:, None]).T
     dense = np.vstack([dense, np.zeros((1, dense.shape[1]), np.float32)]).astype(np.float32)
     large = np.abs(dense) >= SMALL
@@ -406,8 +436,8 @@ def _leaks_of(text_column, group: Group, tables: list) -> dict[tuple[int, int],
     h, first = word_hashes(*X.utf8(text_column))
     found: dict[tuple[int, int], tuple[float, float]] = {}
     for block, (table, item) in zip(group.blocks, tables, strict=True):
-        for x, y in matches(h, first, block, table, item).items():
-            found[x] = max(found.get(x, y), y)
+        for (t, n), y in matches(h, first, block, table, item).items():
+            found[t, n + block.offset] = max(found.get((t, n + block.offset), y), y)
     for x in group.copies.found(h, first):
         found[x] = (1.0, found[x][1] if x in found else 1.0)
     return found
@@ -434,18 +464,36 @@ def _cleaned(batches, text, group: Group):
 
 
 def blocks_of(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, rank: int):
-    """The benchmark's groups of blocks, each block with its latent space, one after the other."""
+    """The benchmark in groups of blocks that are searched in one scan, each block with its latent space."""
     items = benchmark.select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t"))
     if not items.limit(1).count() or not docs.limit(1).count():
         return
     (without, idf), most = idf_table(docs, text), most_passages(rank)
+
+    def worked(some):
+        rows, blocks = [], []
+        for part, n in some:
+            slices = [slice(k, k + most) for k in range(0, n, most)]
+            own = [make_block(part, without, p) for p in slices] + [make_block(part, idf, p, without) for p in slices]
+            for block in own:
+                block.offset = len(rows)
+            blocks += [b for b in own if len(b.item)]
+            rows += part
+        fit_bases(docs, blocks, text, rank)
+        return docs.sparkSession.sparkContext.broadcast(Group.of(rows, blocks))
+
+    held: list = []
     for rows, n in dealt(items.orderBy(F.xxhash64("i", "t"), "i", "t").toLocalIterator(), most):
         rows = sorted(((i, t) for i, t in rows), key=lambda x: (x[0] is None, x[0], x[1] or ""))
-        parts = [slice(k, k + most) for k in range(0, n, most)]
-        blocks = [make_block(rows, without, p) for p in parts] + [make_block(rows, idf, p, without) for p in parts]
-        for block in blocks:
-            fit_basis(docs, block, text, rank)
-        yield docs.sparkSession.sparkContext.broadcast(Group.of(rows, blocks))
+        if n > most:
+            yield worked([(rows, n)])
+            continue
+        held.append((rows, n))
+        if len(held) == PASS:
+            yield worked(held)
+            held = []
+    if held:
+        yield worked(held)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", rank: int = RANK) -> DataFrame:
@@ -458,7 +506,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", rank: int = RANK) -> DataFrame:
-    """The rows of docs that leak no item, in one pass for each block and without a shuffle."""
+    """The rows of docs that leak no item, in one scan for each group of blocks and without a shuffle."""
     out = docs
     for sent in blocks_of(docs, benchmark, text, item, item_text, rank):
         out = out.mapInArrow(lambda bs, s=sent: _cleaned(bs, text, s.value), docs.schema)
