@@ -74,6 +74,72 @@ def test_outliers_keep_clean_and_drop_junk(spark, folder):
     assert junk.where("kept").count() <= 0.1 * junk.count()
 
 
+def brute_estimate(x, centre, scatter):
+    """The estimate of one group by whole subsets of sorted distances."""
+    n = len(x)
+    low, median, high = (np.quantile(x, q, axis=0) for q in (0.25, 0.5, 0.75))
+    sd = np.maximum((high - low) / 1.349, outliers.FLOOR)
+    z = (x - median) / sd
+    clipped = median + sd * np.clip(z, -outliers.CLIP, outliers.CLIP)
+    u = z / np.sqrt((z * z).sum(1) + 1e-12)[:, None]
+    best = (np.inf, None)
+    for cov in outliers.starts(sd[None], np.cov(clipped.T, bias=True)[None], (u.T @ u / n)[None]):
+        mean, cov = outliers.steadied([n], median[None], cov, centre[None], scatter[None])
+        for _ in range(outliers.STEPS):
+            d = x - mean[0]
+            near = np.argsort((d @ np.linalg.inv(cov[0]) * d).sum(1), kind="stable")[: outliers.half(n)]
+            mean, cov = outliers.concentrated([n], [len(near)], x[near].sum(0)[None], (x[near].T @ x[near])[None], centre[None], scatter[None])
+            best = min(best, (np.linalg.slogdet(cov[0])[1], mean[0], cov[0]), key=lambda b: b[0])
+    return best[1:]
+
+
+def test_kept_by_brute_force(spark, folder):
+    """Against estimates over whole subsets: bins of distance may take a hundredth more, so few rows near the cut differ."""
+    docs = spark.read.parquet(folder.replace("0.001", "0.01") + "/documents.parquet").withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") % 3).cast("string")))
+    stats = outliers.grouped(outliers.counts(docs)).select("doc_id", "grp", "language", "n_words", "n_repeat_words", *outliers._vector()).toPandas()
+    got = {r["doc_id"]: r["kept"] for r in outliers.reject_outliers(docs).collect()}
+    fits = stats[~((stats.n_words < 10) | (100 * stats.n_repeat_words > 20 * stats.n_words))]
+    rows = lambda t: t[outliers.NAMES].to_numpy(float)
+    low, median, high = (np.quantile(rows(fits), q, axis=0) for q in (0.25, 0.5, 0.75))
+    usual = np.maximum((high - low) / 1.349, outliers.FLOOR)
+    languages = {k: brute_estimate(rows(t), median, np.diag(usual**2)) for k, t in fits.groupby("language")}
+    differ = 0
+    for _, group in fits.groupby("grp"):
+        x = rows(group)
+        mean, cov = brute_estimate(x, *languages[group.language.iloc[0]])
+        want = ((x - mean) @ np.linalg.inv(cov) * (x - mean)).sum(1) <= outliers.chi2_quantile(outliers.CUT, outliers.P)
+        differ += sum(got[i] != k for i, k in zip(group.doc_id, want, strict=True))
+    assert differ <= 0.005 * len(fits) and not any(got[i] for i in set(stats.doc_id) - set(fits.doc_id))
+
+
+def test_planted_outliers_go_from_groups_of_any_size(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for k, n in enumerate((3, 12, 400)):
+        for i in range(n):
+            rows.append((len(rows), " ".join("".join(rng.choice(list("abcdefghij"), int(rng.integers(2, 9)))) for _ in range(int(rng.integers(80, 300)))), "en", f"s{k}"))
+    bad = len(rows)
+    rows += [(bad + k, " ".join(f"{'#$%'[k]}{i}|<>" * 30 for i in range(200)), "en", f"s{k}") for k in range(3)]
+    out = {r["doc_id"]: r for r in outliers.reject_outliers(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert [out[bad + k]["kept"] for k in range(3)] == [False] * 3 and sum(not out[i]["kept"] for i in range(bad)) <= 2
+
+
+def thue_morse(n, a, b):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_texts_that_collide_in_a_plain_polynomial(spark):
+    """Two different words, and two different lines, of 1,024 letters."""
+    one, two = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    tail = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, one), (2, two), (3, f"{one}\n{two}"), (4, f"{one} {tail}"), (5, f"{two} {tail}")], "doc_id long, text string").withColumns({"lang": F.lit("x"), "source": F.lit("y")})
+    assert {r["doc_id"]: r["n_dup_lines"] for r in outliers.counts(docs).collect()}[3] == 0
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    got = sorted((tuple(r) for r in jaccard.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect()), key=str)
+    assert got == brute_components(rows)
+    assert all(r["starts"] == [] for r in substrings.dedup_words(docs).collect())
+
+
 def test_outliers_on_awkward(spark, awkward, nothing):
     assert outliers.reject_outliers(awkward).count() == awkward.count()
     assert outliers.reject_outliers(nothing).count() == 0
@@ -166,6 +232,14 @@ def test_targets_by_filling(spark):
         assert got[s] == pytest.approx(2 * size[s] if s in full else left * weight[s] / total)
 
 
+def test_rows_without_ids_are_drawn_apart(spark):
+    docs = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("a b c "), F.col("id").cast("string"))).otherwise(F.lit("one two three four")).alias("text"), F.concat(F.lit("s"), F.pmod(F.xxhash64("id"), F.lit(4)).cast("string")).alias("source"))
+    plan = mixing.plan(docs).withColumn("taken", F.col("size") * F.col("copies")).groupBy("source_size").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()
+    assert len(plan) == 4 and all(abs(r["taken"] / r["target"] - 1) < 0.1 for r in plan)
+    assert sum(r["target"] for r in plan) == pytest.approx(1.5 * 12000)
+    assert sorted(map(str, mixing.plan(docs.repartition(7)).drop("doc_id").collect())) == sorted(map(str, mixing.plan(docs).drop("doc_id").collect()))
+
+
 def test_mix_agrees_with_plan(spark, awkward, nothing):
     plan = Counter()
     for r in mixing.plan(awkward).collect():
@@ -211,7 +285,8 @@ def brute_bytes(rows, window):
             if b[p : p + window] in seen:
                 gone[p : p + window] = b"\1" * window
             seen.add(b[p : p + window])
-        out.append((d, len(b), hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+        runs = [m.span() for m in re.finditer(b"\1+", bytes(gone))]
+        out.append((d, len(b), [a for a, _ in runs], [e for _, e in runs], hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest()))
     return out
 
 
@@ -223,10 +298,20 @@ def test_suffix_dedup_by_brute_force(spark, hot):
     rows = [(1, None), (2, ""), (3, "a" * 400), (4, shared[:99]), (5, chunk(80) + shared + chunk(30)), (6, shared), (7, shared * 2), (8, "ab" * 120)]
     rows += [(i, chunk(20) + shared[: int(rng.integers(90, 150))] + chunk(40)) for i in range(10, 40)] + [(50, "z" * 20_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = [(r["doc_id"], r["n_symbols"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in substrings.dedup_bytes(docs, replace(substrings.SUFFIXES, hot=hot)).collect()]
+    got = [(r["doc_id"], r["n_symbols"], r["starts"], r["ends"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in substrings.dedup_bytes(docs, replace(substrings.SUFFIXES, hot=hot)).collect()]
     assert sorted(got) == sorted(brute_bytes(rows, 100))
 
 
+def test_suffix_dedup_of_rows_with_one_id(spark):
+    """What is kept of null ids, and of rows with one id: as many bytes as if they followed each other in one document's place."""
+    rng = np.random.default_rng(9)
+    shared = "".join(rng.choice(list("abcdef "), 130))
+    rows = [(None, shared + "x"), (None, shared + "x"), (None, "y" + shared), (4, shared), (4, shared), (5, "no " * 20)]
+    out = substrings.dedup_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    gone = sum(b - a for r in out for a, b in zip(r["starts"], r["ends"], strict=True))
+    assert len(out) == len(rows) and gone in (130 * 4 + 1, 130 * 4 + 31) and all(r["starts"] == [0] for r in out if r["doc_id"] == 4)
+
+
 @pytest.mark.parametrize("hot", [1024, 1])
 def test_word_dedup_by_brute_force(spark, hot):
     rng = np.random.default_rng(8)
@@ -244,9 +329,9 @@ def test_word_dedup_by_brute_force(spark, hot):
     for d, t in rows:
         w = WORD.findall(t or "")
         gone = {j for i in range(len(w) - 12) if low[tuple(w[i : i + 13])] < key(d) for j in range(i, i + 13)}
-        want.append((key(d), len(w), " ".join(x for j, x in enumerate(w) if j not in gone)))
+        want.append((key(d), len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = [(key(r["doc_id"]), r["n_symbols"], bytes(r["kept"]).decode()) for r in substrings.dedup_words(docs, replace(substrings.PASSAGES, hot=hot)).collect()]
+    got = [(key(r["doc_id"]), r["n_symbols"], sum(r["ends"]) - sum(r["starts"]), bytes(r["kept"]).decode()) for r in substrings.dedup_words(docs, replace(substrings.PASSAGES, hot=hot)).collect()]
     assert sorted(got) == sorted(want)
 
 
@@ -292,13 +377,53 @@ def test_too_many_label_values_are_an_error(spark):
         sample.labelled(labels, "grade", 5)
 
 
+def test_one_text_of_a_labelled_id_is_fitted_on(spark):
+    docs = spark.range(500).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 50).cast("string")).alias("text")).unionByName(spark.createDataFrame([(2, "other words"), (3, None)], "doc_id long, text string"))
+    got = sample.features(docs, {1: 0, 2: 1, 3: 1}, lambda b: toxicity._ids(b, "doc_id", "text"))
+    assert [i for i, _ in got] == [1, 2, 3] and got == sample.features(docs.repartition(5), {1: 0, 2: 1, 3: 1}, lambda b: toxicity._ids(b, "doc_id", "text"))
+    ids = np.arange(3 * 100_000).reshape(3, -1)
+    some = toxicity._spread(ids)
+    assert some.shape == (3, toxicity.FIT_WORDS) and some[0, 0] == 0 and some[0, -1] == 99_999 and (np.diff(some[0]) > 0).all()
+
+
+def test_line_is_weights_times_vector():
+    import pyarrow as pa
+
+    from quire.llm import text as X
+
+    texts = ["A short text, of some words.", "", "## 99 ## aa aa aa", "é" * 300, "the same line\n" * 50]
+    buf, off = X.utf8(pa.array(texts))
+    m = quality.Model(np.random.default_rng(0).normal(size=quality.SIZE), np.array([0.0]), [0, 1], usual_bytes=0)
+    some = np.diff(off) > 0
+    with np.errstate(invalid="ignore"):
+        line = m.line(buf, off)
+    assert np.allclose(line[some], (quality.vectors(buf, off) @ m.weights)[some], rtol=1e-4, atol=1e-4)
+
+
+def test_responses_by_brute_force():
+    rng = np.random.default_rng(0)
+    offsets = sum(toxicity.WIDTHS)
+    net = toxicity.Net(rng.normal(size=(3, toxicity.BUCKETS, toxicity.DIM)), rng.normal(size=(toxicity.DIM, offsets, toxicity.FILTERS)), rng.normal(size=len(toxicity.WIDTHS) * toxicity.FILTERS), rng.normal(size=len(toxicity.WIDTHS) * toxicity.FILTERS), 0.3)
+    lengths = [0, 1, 2, 7]
+    ids = rng.integers(0, toxicity.BUCKETS, (3, sum(lengths)))
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    got = net.logits(ids, first, net.tables())
+    for t, n in enumerate(lengths):
+        x = sum(net.embed[k][ids[k, first[t] : first[t + 1]]] for k in range(3)).reshape(n, toxicity.DIM)
+        pooled, o = np.zeros((len(toxicity.WIDTHS), toxicity.FILTERS)), 0
+        for k, w in enumerate(toxicity.WIDTHS):
+            if n:
+                pooled[k] = np.max([sum(x[i + j] @ net.conv[:, o + j] for j in range(w) if i + j < n) for i in range(n)], axis=0)
+            o += w
+        assert got[t] == pytest.approx(np.maximum(pooled.ravel() + net.bias, 0) @ net.out + net.base, rel=1e-3, abs=1e-3)
+
+
 def test_classifiers_on_awkward(spark, awkward, nothing):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (5, None, None), (None, 1, 1), (6, 1, 0), (7, 0, 1), (7, 1, 0)], "doc_id long, quality int, toxic int")
     for docs in (awkward, nothing):
         for lab in (labels, labels.limit(0)):
-            assert toxicity.scored(docs, toxicity.train(docs, lab, most=5) if docs is awkward else None).count() == docs.count()
-            model = quality.train(docs, lab) if docs is awkward else None
-            assert quality.judged(docs, model).count() == docs.count()
+            assert toxicity.scored(docs, toxicity.train(docs, lab, most=5)).count() == docs.count()
+            assert quality.judged(docs, quality.train(docs, lab)).count() == docs.count()
 
 
 # -- 9 ------------------------------------------------------------------------------------------
@@ -315,6 +440,13 @@ def test_shards_fit_and_split_only_where_needed(spark):
         assert size[kin].sum() > 2000
 
 
+def test_one_giant_and_few_small(spark):
+    rows = spark.createDataFrame([(i, 10**14 if i == 3 else 100) for i in range(7)], "doc_id long, __quire_bytes long").withColumn("__quire_hash", sharding.hash_bits(F.col("doc_id")))
+    out = sharding.assign(rows, 1 << 20).collect()
+    assert len(out) == 7 and [r["doc_id"] for r in out if r["oversize"]] == [3]
+    assert all(r["shard_bytes"] <= 1 << 20 for r in out if not r["oversize"])
+
+
 def test_hot_ids_are_paged(spark):
     docs = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("y" * 10).alias("text"), F.lit(1).alias("__hash2"))
     out = sharding.shard(docs, limit=500)
@@ -447,6 +579,50 @@ def test_decontamination_on_awkward(spark, awkward, nothing):
     assert decontamination.contaminated(nothing, items).count() == 0
 
 
+def test_latent_recall_against_every_window(spark, folder):
+    """Every leak that the subsequence rule sees in some window of a document, of any item."""
+    import pyarrow as pa
+
+    folder = folder.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    from quire.llm import text as X
+
+    rows, wanted = docs.orderBy("doc_id").limit(300).collect(), items.collect()
+    h, first = decontamination.word_hashes(*X.utf8(pa.array([r["text"] for r in rows])))
+    g, begin = decontamination.word_hashes(*X.utf8(pa.array([r["text"] for r in wanted])))
+    want = set()
+    for i, r in enumerate(rows):
+        words = h[first[i] : first[i + 1]]
+        for k, w in enumerate(wanted):
+            item = g[begin[k] : begin[k + 1]]
+            if len(np.intersect1d(item, words)) < decontamination.WEAK * len(np.unique(item)):
+                continue
+            n = decontamination.WIDTH + 2 * len(item)
+            if any(decontamination.leaks(item, words[a : a + n]) for a in range(0, max(1, len(words) - n + decontamination.STRIDE), decontamination.STRIDE)):
+                want.add((r["doc_id"], w["item_id"]))
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs.where(F.col("doc_id").isin([r["doc_id"] for r in rows])), items).collect()}
+    assert len(want) > 5 and len(got & want) >= 0.9 * len(want)
+
+
+def test_answers_decide_weak_overlaps():
+    item = np.arange(1, 21)
+    weak = np.concatenate([item[:9], [90, 91], item[-4:]])  # 13 of 20 in order, most of the answer
+    assert decontamination.leaks(item, weak) == pytest.approx(0.65)
+    assert decontamination.leaks(item, np.concatenate([item[:13], [90, 91]])) == 0.0
+    assert decontamination.leaks(item, item[:14]) == pytest.approx(0.7)
+    assert decontamination.leaks(item, item[:9]) == 0.0
+
+
+def test_basis_holds_most_of_every_passage():
+    rng = np.random.default_rng(0)
+    kinds = rng.random((10, 300)) * (rng.random((10, 300)) < 0.2)
+    own = rng.random((60, 10)) @ kinds + 0.01 * rng.random((60, 300))
+    v = decontamination.directions(own, rng.normal(size=(8, 300)) * 0.01)
+    assert v.shape[1] < 20 and (np.square(own @ v).sum(1) >= decontamination.ENERGY * np.square(own).sum(1) * 0.999).all()
+    assert np.allclose(v.T @ v, np.eye(v.shape[1]), atol=1e-8)
+
+
 def test_common_subsequence():
     a, b = np.array([1, 2, 3, 4, 5]), np.array([9, 1, 3, 9, 5, 4])
     assert decontamination.common_subsequence(a, b)[0] == 3
@@ -478,3 +654,15 @@ def test_pipeline_stages(spark, folder):
     out = P.deal_shards(spark, mixed, folder)
     assert out.columns == [*docs.columns, "shard_id"] and out.count() == mixed.count()
     assert out.groupBy("shard_id").agg(F.sum(F.octet_length("text")).alias("n")).agg(F.max("n")).first()[0] <= sharding.OP9_LIMIT
+
+
+def test_pipeline_on_awkward(spark, awkward, tmp_path):
+    import corpus_pipeline as P
+
+    for name, docs in (("awkward", awkward.drop("__hash", "size", "cid", "slice")), ("empty", awkward.drop("__hash", "size", "cid", "slice").limit(0))):
+        at = str(tmp_path / name)
+        docs.write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame([(1, None), (2, "phi chi psi omega")], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        out = P.run(spark, at)
+        assert out.columns == [*docs.columns, "shard_id"] and (out.count() > 0) == (name == "awkward")
