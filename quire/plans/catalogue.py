@@ -6,7 +6,7 @@ import importlib
 
 from quire.plans.registry import QUERIES, SQL
 
-MODULES = ("text_queries", "layout_queries", "table_queries", "record_queries", "page_queries", "matching_queries")
+MODULES = ("text_queries", "layout_queries", "table_queries", "record_queries", "page_queries", "matching_queries", "chart_queries", "pdf_queries")
 
 for _m in MODULES:
     importlib.import_module(f"quire.plans.{_m}")

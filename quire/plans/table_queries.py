@@ -75,14 +75,14 @@ def header_rows(spark, sf_dir):
 
 
 def _placed_cells(spark, sf_dir):
-    """Every page of twenty-four runs: three columns, rows 800 apart, the last sometimes out of order."""
-    r = V.runs(spark, sf_dir).where("ord % 40 < 6")
+    """All runs of every page, in three columns and rows 800 apart, the fifth sometimes out of order."""
+    r = V.runs(spark, sf_dir)
     k = F.col("ord") % 40
     jitter = F.length("text") % 3 * 40
     return r.select("doc_id", "page", "ord", (7200 + (k % 3) * 9000 + jitter).cast("bigint").alias("x0"), (7200 + F.floor(k / 3) * F.when(F.col("doc_id") % 5 == 0, 400).otherwise(800) + F.when((F.col("doc_id") % 7 == 0) & (k == 4), -800).otherwise(0)).cast("bigint").alias("y0"))
 
 
-_UNRULED = V.with_views("runs") + """, q AS (SELECT doc_id, page, ord, 7200 + (ord % 40 % 3) * 9000 + length(text) % 3 * 40 AS x0, 7200 + (ord % 40 // 3) * CASE WHEN doc_id % 5 = 0 THEN 400 ELSE 800 END + CASE WHEN doc_id % 7 = 0 AND ord % 40 = 4 THEN -800 ELSE 0 END AS y0 FROM runs WHERE ord % 40 < 6),
+_UNRULED = V.with_views("runs") + """, q AS (SELECT doc_id, page, ord, 7200 + (ord % 40 % 3) * 9000 + length(text) % 3 * 40 AS x0, 7200 + (ord % 40 // 3) * CASE WHEN doc_id % 5 = 0 THEN 400 ELSE 800 END + CASE WHEN doc_id % 7 = 0 AND ord % 40 = 4 THEN -800 ELSE 0 END AS y0 FROM runs),
 f AS (SELECT doc_id, page, list_reduce(list_transform(list_sort(list_distinct(list(x0))), lambda v: [v]), lambda a, v: CASE WHEN v[1] - a[len(a)] > 150 THEN list_append(a, v[1]) ELSE a END) AS xs,
   list_reduce(list_transform(list_sort(list_distinct(list(y0))), lambda v: [v]), lambda a, v: CASE WHEN v[1] - a[len(a)] > 150 THEN list_append(a, v[1]) ELSE a END) AS ys FROM q GROUP BY ALL),
 fc AS (SELECT doc_id, page, ord, xs, ys, (greatest(len(list_filter(ys, lambda v: v <= y0)), 1) - 1) * len(xs) + greatest(len(list_filter(xs, lambda v: v <= x0)), 1) - 1 AS face FROM q JOIN f USING (doc_id, page)),
@@ -113,7 +113,7 @@ def order_faults(spark, sf_dir):
 @query(_UNRULED + " SELECT doc_id, page, coalesce(xg < 1200, false) AS columns, coalesce(yg < 600, false) AS lines FROM gp JOIN gq USING (doc_id, page)")
 def gutter_faults(spark, sf_dir):
     per = _placed_cells(spark, sf_dir).groupBy("doc_id", "page").agg(L.fold(F.collect_set("x0")).alias("xs"), L.fold(F.collect_set("y0")).alias("ys"))
-    near = lambda c, floor: F.coalesce(F.exists(F.zip_with(F.slice(c, 2, 4096), F.slice(c, 1, 4096), lambda b, a: b - a), lambda g: g < floor), F.lit(False))
+    near = lambda c, floor: F.coalesce(F.exists(F.zip_with(F.slice(c, F.lit(2), F.size(c)), c, lambda b, a: b - a), lambda g: g < floor), F.lit(False))
     return per.select("doc_id", "page", near("xs", 1200).alias("columns"), near("ys", 600).alias("lines"))
 
 

@@ -189,7 +189,10 @@ def _odf_text(e: E.Element) -> str:
         for k in x:
             name = local(k.tag)
             if name == "s":
-                out.extend(" " * min(int(attr(k, "c") or 1), MAX_REPEAT))
+                times = int(attr(k, "c") or 1)
+                if times > MAX_REPEAT:
+                    raise Refused("resource-limit repeated-spaces")
+                out.extend(" " * times)
             elif name == "tab":
                 out.append("\t")
             elif name == "line-break":

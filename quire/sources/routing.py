@@ -19,8 +19,9 @@ def media_type(content: Column) -> Column:
 
 
 def aims_at_pdf(content: Column) -> Column:
-    """Whether the PDF mark stands in the first kilobyte without being the first thing there."""
-    return F.hex(F.substring(content, 1, 1024)).contains("255044462D") & (F.hex(F.substring(content, 1, 5)) != "255044462D")
+    """Whether a PDF reader's own refusal is the right one: the mark stands first, or all there is is a part of its beginning, nothing included."""
+    head = F.hex(F.substring(content, 1, 5))
+    return F.when(F.octet_length(content) >= 5, head == "255044462D").otherwise(F.lit("255044462D").startswith(head))
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:

@@ -75,17 +75,42 @@ def test_mutations_are_refused_or_read():
 
 
 def test_html_blocks():
-    page = "<html><head><title>T</title><style>x</style></head><body>out<p>Before <b>x</b>  y<nav><ol><li>TOC</li></ol></nav><p>After<pre> a\n b</pre>&lt;<script>s</script></body>"
-    assert html.read(page) == ([(1, "body", "out"), (2, "p", "Before x y"), (5, "p", "After<"), (6, "pre", "a\n b")], 3, 0)
-    assert [n for n, _, _ in html.read("<body><p>Before</p><nav><ol><li>TOC</li></ol></nav><p>After</p></body>")[0]] == [2, 5]
+    page = "<html><head><title>T</title><style>x</style></head><body>loose<p>One <i>leaf</i>  of it<nav><ul><li>menu</li></ul></nav><p>Two<pre> a\n b</pre>&lt;<script>s</script></body>"
+    assert html.read(page) == ([(1, "body", "loose"), (2, "p", "One leaf of it"), (5, "p", "Two<"), (6, "pre", "a\n b")], 3, 0)
+    assert [n for n, _, _ in html.read("<body><h2>Title</h2><nav><p>menu</p></nav><ul><li>item</li></ul></body>")[0]][0] == 2
     assert html.read(None) == ([], 0, 0)
 
 
+PPTX = package(
+    {
+        "ppt/presentation.xml": '<p xmlns:r="r"><sldIdLst><sldId id="256" r:id="b"/><sldId id="257" r:id="a"/></sldIdLst></p>',
+        "ppt/_rels/presentation.xml.rels": '<Relationships><Relationship Id="a" Target="slides/s1.xml"/><Relationship Id="b" Target="slides/s2.xml"/></Relationships>',
+        "ppt/slides/s1.xml": "<sld><sp><txBody><p><r><t>last</t></r></p></txBody></sp></sld>",
+        "ppt/slides/s2.xml": "<sld><sp><txBody><p><r><t>one</t></r><r><t> two</t></r></p><p/></txBody></sp><graphicFrame><tbl><tc><p><fld><t>3</t></fld></p></tc></tbl></graphicFrame></sld>",
+    }
+)
+ODP = package({"mimetype": "application/vnd.oasis.opendocument.presentation", "META-INF/manifest.xml": MANIFEST, "content.xml": '<d xmlns:d="d" xmlns:t="t"><d:page><d:frame><t:p>top</t:p><t:p/><t:p>next</t:p></d:frame><d:rect><t:p>box</t:p></d:rect></d:page><d:page><d:frame><t:p>end</t:p></d:frame></d:page></d>'}, ("mimetype",))
+
+
+def test_slides():
+    assert texts(PPTX) == ("pptx", [("1:1:1:1", "one"), ("1:1:1:2", " two"), ("1:2:1:1", "3"), ("2:1:1:1", "last")])
+    assert texts(ODP) == ("odp", [("1:1:1", "top"), ("1:1:3", "next"), ("1:2:1", "box"), ("2:1:1", "end")])
+    kind, nodes, refusal = office.read(PPTX.replace(b"x", b"x"))
+    assert refusal is None and len(nodes) == 4
+
+
+def test_too_many_stated_spaces_are_refused():
+    for times, why in ((4096, None), (4097, "resource-limit repeated-spaces")):
+        made = package({"mimetype": "application/vnd.oasis.opendocument.text", "META-INF/manifest.xml": MANIFEST, "content.xml": f'<d xmlns:t="t"><t:p>a<t:s t:c="{times}"/>b</t:p></d>'}, ("mimetype",))
+        assert office.read(made)[2] == why
+
+
 def test_routing_and_nodes(spark, tmp_path):
     for name, content in {"a.bin": DOCX, "b.pdf": b"%PDF-1.7", "c.rtf": rb"{\rtf1 hi}", "d.png": b"\x89PNG\r\n\x1a\n", "e.txt": b"text", "f": b"\n\n%PDF-1.4"}.items():
         (tmp_path / name).write_bytes(content)
     files = routing.files(spark, str(tmp_path))
     assert {r["path"].rpartition("/")[2]: r["media"] for r in files.collect()} == {"a.bin": "zip", "b.pdf": "pdf", "c.rtf": "rtf", "d.png": "png", "e.txt": None, "f": None}
-    assert [r["path"][-1] for r in files.where(routing.aims_at_pdf(F.col("content"))).collect()] == ["f"]
+    heads = spark.createDataFrame([(n, bytearray(c)) for n, c in enumerate((b"%PDF-1.7", b"%PDF-", b"%PD", b"", b"%PDX", b"x%PDF-", b"P"))], "n int, content binary")
+    assert [r["n"] for r in heads.where(routing.aims_at_pdf(F.col("content"))).orderBy("n").collect()] == [0, 1, 2, 3]
     got = office.nodes(files.where("media in ('zip', 'rtf')")).collect()
     assert sorted(r["text"] for r in got) == ["A\tB", "C", "hi"]
