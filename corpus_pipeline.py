@@ -3,7 +3,8 @@
 Quality classifier, n-gram Jaccard join (one document of each group stays),
 benchmark decontamination, mixing of sources to target weights, sharding. Every
 stage works on all rows that the one before kept; all but the last return the
-columns of documents.
+columns of documents. Each function's docstring says what it decides; nulls, empty
+and very long texts, repeated rows and empty tables fare as its operator says.
 """
 
 from __future__ import annotations
