@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import sample
+from quire.llm import sample, store
 from quire.llm import text as X
 
 #: Labelled rows of each grade that are fitted on, at most.
@@ -109,11 +109,12 @@ class Model:
         return self.grades[0] + above @ steps, above[:, min(tail_from, above.shape[1]) - 1]
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.05, ridge: float = 1e-4) -> Model | None:
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.05, ridge: float = 1e-4, own: bool = False) -> Model | None:
     """Cumulative-link regression by full-batch Adam; None with fewer than two grades.
 
     Grades weigh alike, so that rare ones count. Thresholds are the first and
-    the logarithms of the steps between them, which keeps them in order.
+    the logarithms of the steps between them, which keeps them in order. ``x`` is
+    scaled and centred in place if it is ``own``, so that the driver holds it once.
     """
     grades = sorted({int(v) for v in y})
     if len(grades) < 2:
@@ -121,9 +122,10 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.05, rid
     k = np.searchsorted(grades, y)
     m = len(grades) - 1
     scale = 1 / np.sqrt(x.mean(0) * 0.05 + 1e-5)
-    xs = x * scale
+    xs = x if own else x.copy()
+    xs *= scale
     centre = xs.mean(0)
-    xs = xs - centre
+    xs -= centre
     share = np.bincount(k, minlength=m + 1)
     each = (1 / (share[k] * (m + 1))).astype(np.float32)
     p = np.zeros(x.shape[1] + m)
@@ -149,8 +151,8 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.05, rid
         p -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
     w, a = p[: x.shape[1]], p[x.shape[1] :]
     th = a[0] + np.concatenate([[0.0], np.cumsum(np.exp(a[1:]))])
-    line = (xs[k == m] + centre) @ w
-    return Model(w * scale, th + float(centre @ w), grades, float(line.mean()))
+    upper = (k == m).astype(np.float32) @ xs / max(share[m], 1) + centre
+    return Model(w * scale, th + float(centre @ w), grades, float(upper @ w))
 
 
 def _vectors(batches, key, text):
@@ -166,8 +168,13 @@ def train(docs: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str =
     if len(set(known.values())) < 2:
         return None
     rows = sample.features(docs, known, lambda b: _vectors(b, key, text), key, text)
-    x = np.stack([np.frombuffer(v, np.float16) for _, v in rows]).astype(np.float32) if rows else np.zeros((0, SIZE), np.float32)
-    return fit(x, np.array([known[i] for i, _ in rows], np.int64))
+    x = np.empty((len(rows), SIZE), np.float32)
+    for k, (_, v) in enumerate(rows):
+        x[k] = np.frombuffer(v, np.float16)
+    y = np.array([known[i] for i, _ in rows], np.int64)
+    del rows
+    store.release(docs.sparkSession)
+    return fit(x, y, own=True)
 
 
 def judge_batches(batches, keep: list[str], text: str, model: Model | None, names: list[str]):

@@ -45,4 +45,5 @@ def features(docs: DataFrame, known: dict, vectors, key: str = "doc_id", text: s
     wanted = docs.sparkSession.createDataFrame([(i,) for i in known], f"__id {kind}")
     rows = docs.select(key, text, F.xxhash64(F.col(text)).alias("h")).join(F.broadcast(wanted), F.col(key) == F.col("__id"), "left_semi")
     rows = rows.mapInArrow(vectors, f"`{key}` {kind}, h bigint, v binary").groupBy(key).agg(F.min_by("v", "h").alias("v"))
-    return sorted((r[0], bytes(r[1])) for r in rows.collect())
+    table = rows.toArrow()
+    return sorted(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True))
