@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 
 #: Texts of one Arrow batch are worked on in pieces of about so many bytes.
 PIECE = 1 << 21
+#: Words of about so many bytes are hashed at once.
+RUN = 1 << 18
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -52,7 +54,7 @@ BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_R))
 def _power(which: str, n: int) -> np.ndarray:
     have = _powers.get(which)
     if have is None or len(have) < n:
-        base = np.full(max(n, PIECE + 4096), _R if which == "up" else _RINV, np.uint64)
+        base = np.full(max(n + n // 4, 2 * RUN), _R if which == "up" else _RINV, np.uint64)
         base[0] = 1
         have = np.cumprod(base, dtype=np.uint64)
         if n <= 4 * PIECE:
@@ -144,7 +146,15 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return tree_hash(BYTE[buf], start, end)
+    """Hashes of words, RUN bytes of the buffer at a time: the working arrays are many times as large as what they are made of."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    cuts = np.unique(np.append(np.searchsorted(start, np.arange(start[0], start[-1] + 1, RUN)), len(start)))
+    out = np.empty(len(start), np.uint64)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        low = start[a]
+        out[a:b] = tree_hash(BYTE[buf[low : end[b - 1]]], start[a:b] - low, end[a:b] - low)
+    return out
 
 
 def ragged(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
