@@ -290,7 +290,7 @@ def _sketched(batches, text, blocks: list[Block], tests: list[np.ndarray]):
     padded = [np.vstack([t, np.zeros((1, t.shape[1]), np.float32)]) for t in tests]
     totals, traces = [np.zeros(t.shape) for t in tests], [0.0] * len(tests)
     for batch in batches:
-        for piece in X.pieces(batch, text, X.PIECE // 2):
+        for piece in X.pieces(batch, text, 2 * X.PIECE):
             h, first = word_hashes(*X.utf8(piece.column(text)))
             for i, block in enumerate(blocks):
                 traces[i] += _add_sketch(h, first, block, padded[i], totals[i])
@@ -446,7 +446,7 @@ def _leaks_of(text_column, group: Group, tables: list) -> dict[tuple[int, int],
 def _searched(batches, key, text, group: Group):
     tables = [products(b) for b in group.blocks]
     for batch in batches:
-        for piece in X.pieces(batch, text, X.PIECE // 2):
+        for piece in X.pieces(batch, text, 2 * X.PIECE):
             found = _leaks_of(piece.column(text), group, tables)
             pairs = sorted(found)
             if pairs:
@@ -457,7 +457,7 @@ def _searched(batches, key, text, group: Group):
 def _cleaned(batches, text, group: Group):
     tables = [products(b) for b in group.blocks]
     for batch in batches:
-        for piece in X.pieces(batch, text, X.PIECE // 2):
+        for piece in X.pieces(batch, text, 2 * X.PIECE):
             keep = np.ones(piece.num_rows, bool)
             keep[[t for t, _ in _leaks_of(piece.column(text), group, tables)]] = False
             yield piece.filter(pa.array(keep))

@@ -32,7 +32,7 @@ def labelled(labels: DataFrame, value: str, most: int, key: str = "doc_id", wher
 
 
 def features(docs: DataFrame, known: dict, vectors, key: str = "doc_id", text: str = "text") -> list[tuple]:
-    """(id, vector) of the sampled ids, in order. vectors: batches of (key, text, h) -> batches of (key, h, v).
+    """(id, buffer of the vector) of the sampled ids, in order. vectors: batches of (key, text, h) -> batches of (key, h, v).
 
     Of several rows with one id the one whose text has the least hash counts,
     and copies of an id's texts are merged before the shuffle, so the driver gets
@@ -46,4 +46,4 @@ def features(docs: DataFrame, known: dict, vectors, key: str = "doc_id", text: s
     rows = docs.select(key, text, F.xxhash64(F.col(text)).alias("h")).join(F.broadcast(wanted), F.col(key) == F.col("__id"), "left_semi")
     rows = rows.mapInArrow(vectors, f"`{key}` {kind}, h bigint, v binary").groupBy(key).agg(F.min_by("v", "h").alias("v"))
     table = rows.toArrow()
-    return sorted(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True))
+    return sorted(((i, v.as_buffer()) for i, v in zip(table.column(0).to_pylist(), table.column(1), strict=True)), key=lambda r: r[0])

@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -45,7 +46,8 @@ def release(spark: SparkSession) -> None:
 
     They go when the driver collects its garbage, which it may not do for long;
     a job of several phases asks for it between them, so that disks hold the
-    files of one phase.
+    files of one phase. Arrow's freed memory goes back to the system, too.
     """
     gc.collect()
+    pa.default_memory_pool().release_unused()
     spark._jvm.System.gc()

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts of one Arrow batch are worked on in pieces of about so many bytes.
-PIECE = 1 << 21
+PIECE = 1 << 19
 #: Words of about so many bytes are hashed at once.
 RUN = 1 << 18
 
@@ -57,7 +57,7 @@ def _power(which: str, n: int) -> np.ndarray:
         base = np.full(max(n + n // 4, 2 * RUN), _R if which == "up" else _RINV, np.uint64)
         base[0] = 1
         have = np.cumprod(base, dtype=np.uint64)
-        if n <= 4 * PIECE:
+        if n <= 16 * PIECE:
             _powers[which] = have
     return have[:n]
 

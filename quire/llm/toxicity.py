@@ -270,7 +270,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def _score(batches, key, text, net):
     tables = net.tables() if net else None
     for batch in batches:
-        for piece in X.pieces(batch, text, X.PIECE // 4):
+        for piece in X.pieces(batch, text, X.PIECE):
             if net is None:
                 score = np.zeros(piece.num_rows)
             else:
