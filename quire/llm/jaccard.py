@@ -57,6 +57,8 @@ LEADERS = 2
 LITTLE = 4
 #: Buckets of a set's counts, from which an intersection is bounded before sets are sent.
 CELLS = 512
+#: Of a sieve: bits for each row, of one of its tables (as bitmap_construct_agg has them), and most tables, 8 MB.
+BITS, TABLE, TABLES = 32, 1 << 15, 1 << 11
 
 SLICE, NAMES = 1 << 20, 8 << 20
 
@@ -385,6 +387,21 @@ def connected(posted: DataFrame, classes: DataFrame, comps: DataFrame, judge) ->
         before = left
 
 
+def sifted(rows: DataFrame, wanted: DataFrame, mine: list[str], theirs: list[str]) -> DataFrame:
+    """rows without most of those whose columns ``mine`` equal no row's ``theirs`` in wanted; none that do is lost.
+
+    A bit for each hash of wanted goes to all tasks, so that a join that follows
+    shuffles few others. Beyond TABLES the bits fill up and more rows pass.
+    """
+    tables = min(TABLES, max(1, -(-wanted.count() * BITS // TABLE)))
+    at = lambda columns: F.pmod(F.xxhash64(*columns), F.lit(tables * TABLE))
+    there = wanted.select(at(theirs).alias("at")).groupBy(F.floor(F.col("at") / TABLE).alias("__quire_table")).agg(F.bitmap_construct_agg(F.col("at") % TABLE).alias("__quire_bits"))
+    own = rows.withColumn("__quire_at", at(mine)).withColumn("__quire_table", F.floor(F.col("__quire_at") / TABLE))
+    own = own.join(F.broadcast(there), "__quire_table").withColumn("__quire_at", F.col("__quire_at") % TABLE)
+    byte = F.conv(F.hex(F.substring("__quire_bits", F.floor(F.col("__quire_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return own.where(F.getbit(byte, (F.col("__quire_at") % 8).cast("int")) == 1).select(*(F.col(f"`{c}`") for c in rows.columns))
+
+
 def links(docs: DataFrame, rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Components of classes as (u, m), from ``members`` and the documents."""
     shared = rows.where(F.col("cells").isNotNull())
@@ -407,6 +424,7 @@ def links(docs: DataFrame, rows: DataFrame, key: str = "doc_id", text: str = "te
     wanted = store.written(wanted.select("cid", F.col("lead.doc_id").alias("__quire_id"), F.col("lead.text_hash").alias("__quire_hash")), "wanted")
     store.release(docs.sparkSession)
     texts = docs.select(F.col(key).cast("long").alias("__key"), F.xxhash64(F.col(text)).alias("__text"), F.col(text).alias("text"))
+    texts = sifted(texts, wanted, ["__key", "__text"], ["__quire_id", "__quire_hash"])
     texts = texts.join(wanted, F.col("__key").eqNullSafe(F.col("__quire_id")) & (F.col("__text") == F.col("__quire_hash"))).select("cid", "text").dropDuplicates(["cid"])
     sets = store.written(texts.mapInArrow(_sets, "cid bigint, items binary"), "sets")
     store.release(docs.sparkSession)

@@ -198,6 +198,57 @@ def test_lone_pairs_that_differ_in_the_last_word(spark):
     assert got == brute_components(rows)
 
 
+def shuffled_by_table(spark, monkeypatch):
+    """Bytes that were shuffled to write each table of jaccard, filled as they are written."""
+    out, written, store_of = Counter(), store.written, spark.sparkContext._jsc.sc().statusStore
+
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        arrays = spark.sparkContext._gateway.new_array
+        stages = store_of().stageList(None, False, False, arrays(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    def counted(df, name):
+        before = total()
+        table = written(df, name)
+        out[name] += total() - before
+        return table
+
+    monkeypatch.setattr(jaccard.store, "written", counted)
+    return out
+
+
+def test_only_texts_of_candidates_are_shuffled_for_sets(spark, monkeypatch):
+    """As on large tables, where the candidates are too many to be sent to all tasks."""
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(f"{x:012x}" for x in rng.integers(0, 1 << 48, 200))) for i in range(300)]
+    rows += [(1000, f"{rows[7][1]} more"), (None, f"{rows[8][1]} more")]
+    docs = store.written(spark.createDataFrame(rows, "doc_id long, text string"), "t-docs")
+    by = shuffled_by_table(spark, monkeypatch)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sorted((tuple(r) for r in jaccard.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert got == brute_components(rows)
+    size = sum(len(t) for _, t in rows)
+    assert by["members"] > size / 2 and 0 < by["sets"] < size / 10, (size, by)
+
+
+def test_sieve_loses_no_row(spark, monkeypatch):
+    rows = spark.range(5000).select(F.when(F.col("id") % 50 > 0, F.col("id")).alias("a"), F.xxhash64("id").alias("b"))
+    wanted = rows.where("b % 10 = 0 or a is null").select(F.col("a").alias("x"), F.col("b").alias("y"))
+    n = wanted.count()
+    for tables in (jaccard.TABLES, 1):
+        monkeypatch.setattr(jaccard, "TABLES", tables)
+        left = jaccard.sifted(rows, wanted, ["a", "b"], ["x", "y"])
+        assert left.columns == rows.columns
+        same = F.col("a").eqNullSafe(F.col("x")) & (F.col("b") == F.col("y"))
+        assert left.join(wanted, same, "left_semi").count() == n <= left.count() < n + 5000 * n * (3 if tables > 1 else 50) // 32768 + 200
+    assert jaccard.sifted(rows, wanted.limit(0), ["a", "b"], ["x", "y"]).count() == 0
+
+
 def test_one_of_each(spark, awkward, nothing):
     kept = jaccard.one_of_each(awkward)
     assert kept.columns == awkward.columns
