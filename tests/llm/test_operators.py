@@ -236,6 +236,14 @@ def test_only_texts_of_candidates_are_shuffled_for_sets(spark, monkeypatch):
     assert by["members"] > size / 2 and 0 < by["sets"] < size / 10, (size, by)
 
 
+def test_release_trims_the_native_heap_of_the_driver(spark, monkeypatch):
+    assert store.trim(spark)  # this JVM can
+    done, trim = [], store.trim
+    monkeypatch.setattr(store, "trim", lambda s: done.append(trim(s)))
+    store.release(spark)
+    assert done == [True]
+
+
 def test_sieve_loses_no_row(spark, monkeypatch):
     rows = spark.range(5000).select(F.when(F.col("id") % 50 > 0, F.col("id")).alias("a"), F.xxhash64("id").alias("b"))
     wanted = rows.where("b % 10 = 0 or a is null").select(F.col("a").alias("x"), F.col("b").alias("y"))
