@@ -236,6 +236,39 @@ def test_only_texts_of_candidates_are_shuffled_for_sets(spark, monkeypatch):
     assert by["members"] > size / 2 and 0 < by["sets"] < size / 10, (size, by)
 
 
+def test_sets_outside_the_pairs_are_not_shuffled(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    sets = [(i, np.unique(rng.integers(0, 1 << 63, 1000).astype(np.uint64)).tobytes()) for i in range(200)]
+    sets += [(1000, sets[7][1]), (1001, sets[8][1][: 8 * 800]), (1002, sets[9][1][: 8 * 700])]
+    sets = store.written(spark.createDataFrame(sets, "cid long, items binary"), "t-sets")
+    near = store.written(spark.createDataFrame([(7, 1000), (8, 1001), (9, 1002)], "a long, b long"), "t-near")
+    by = shuffled_by_table(spark, monkeypatch)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = sorted(tuple(r) for r in jaccard.verified(near, sets, "t").collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert found == [(7, 1000), (8, 1001)]
+    assert 0 < by["t-links"] < 200 * 8000 / 4, by
+
+
+def test_shingles_of_one_group_are_not_posted(spark, monkeypatch):
+    """Copies share their shingles with each other only; near copies, also of one group, still meet."""
+    rng = np.random.default_rng(13)
+    texts = [" ".join(f"{x:08x}" for x in rng.integers(0, 1 << 32, 60)) for _ in range(8)]
+    rows = [(10 * i + j, t) for i, t in enumerate(texts) for j in range(4)]
+    rows += [(500, f"{texts[6]} more"), (None, f"{texts[7]} more")]
+    posted, written = [], store.written
+    monkeypatch.setattr(jaccard, "SLICE", 2000)  # copies are in different slices
+    monkeypatch.setattr(jaccard.store, "written", lambda df, name: posted.append((name, written(df, name))) or posted[-1][1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in jaccard.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect()), key=str)
+    assert got == brute_components(rows)
+    groups = dict(posted)["postings"].groupBy("token").agg(F.countDistinct("grp").alias("n"))
+    assert groups.count() > 0 and groups.where("n < 2").count() == 0
+
+
 def test_release_trims_the_native_heap_of_the_driver(spark, monkeypatch):
     assert store.trim(spark)  # this JVM can
     done, trim = [], store.trim
