@@ -44,20 +44,26 @@ def _noted(doc: int, text: str | None) -> bytes:
     return pdf.revised(data, {max(pdf.Pdf(data).entries): None}) if doc % 2 else data
 
 
-def _files(spark, sf_dir, made):
-    """(path, content) of the documents as files."""
+#: Bytes of the documents' table for one task: files are long work, and a row group of them can't be split.
+TASK_BYTES = 4 << 20
 
-    def write(batches):
+
+def _read(spark, sf_dir, made, read, schema):
+    """What ``read`` makes of the documents as files (path, content), which are written one at a time as they are asked for."""
+
+    def files(batches):
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(map(str, ids), pa.string()), pa.array([made(i, t) for i, t in zip(ids, batch.column(1).to_pylist(), strict=True)], pa.binary())], ["path", "content"])
+            for i, text in zip(batch.column(0), batch.column(1), strict=True):
+                i = i.as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([str(i)], pa.string()), pa.array([made(i, text.as_py())], pa.binary())], ["path", "content"])
 
-    return V.table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(write, "path string, content binary")
+    docs = V.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return V.dealt(docs, TASK_BYTES, "doc_id", "text").mapInArrow(lambda batches: read(files(batches)), schema)
 
 
 @query(_LINES + " SELECT doc_id, page, n AS ord, text, 7200::BIGINT AS x, (7200 + ord % 40 * 1400)::BIGINT AS y, (length(text) * 500)::BIGINT AS advance, 1000::BIGINT AS em FROM l")
 def pdf_runs(spark, sf_dir):
-    found = pdf.runs(_files(spark, sf_dir, lambda i, t: pdf.written(_pages(t))))
+    found = _read(spark, sf_dir, lambda i, t: pdf.written(_pages(t)), pdf._runs, pdf.RUNS)
     return found.where("ord is not null").select(F.col("path").cast("bigint").alias("doc_id"), "page", "ord", "text", "x", "y", "advance", "em")
 
 
@@ -65,22 +71,21 @@ def pdf_runs(spark, sf_dir):
 CASE doc_id % 6 WHEN 1 THEN 'no-header' WHEN 2 THEN 'no-startxref' WHEN 4 THEN 'lost-stream' WHEN 5 THEN 'encrypted' END AS refusal FROM runs GROUP BY doc_id""")
 def pdf_refusals(spark, sf_dir):
     """Files that are whole, repaired or refused, and how many pages the tree of each has."""
-    found = pdf.facts(_files(spark, sf_dir, lambda i, t: _damaged(i, pdf.written(_pages(t)))))
+    found = _read(spark, sf_dir, lambda i, t: _damaged(i, pdf.written(_pages(t))), pdf._facts, pdf.FACTS)
     return found.select(F.col("path").cast("bigint").alias("doc_id"), "pages", "runs", "repaired", "refusal")
 
 
 @query(_LINES + " SELECT doc_id, page, n AS mcid, 'Document/P' AS path, text FROM l")
 def pdf_structure(spark, sf_dir):
     """What the structure tree says of each line, joined to the runs by page and number."""
-    files = _files(spark, sf_dir, lambda i, t: pdf.written(_pages(t), marked=True))
+    made = lambda i, t: pdf.written(_pages(t), marked=True)
+    schema = "file string, on bigint, number bigint, roles string"
 
-    def roles(batches):
-        for batch in batches:
-            rows = [{"file": p, "on": page, "number": mcid, "roles": path} for p, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for page, mcid, path in pdf.structure(pdf.Pdf(c.as_py()))]
-            yield pdf._batch(rows, "file string, on bigint, number bigint, roles string")
+    def roles(path, content):
+        return ({"file": path, "on": page, "number": mcid, "roles": names} for page, mcid, names in pdf.structure(pdf.Pdf(content)))
 
-    told = files.mapInArrow(roles, "file string, on bigint, number bigint, roles string")
-    runs = pdf.runs(files)
+    told = _read(spark, sf_dir, made, lambda files: pdf.each(files, roles, schema), schema)
+    runs = _read(spark, sf_dir, made, pdf._runs, pdf.RUNS)
     both = runs.join(told, (F.col("path") == F.col("file")) & (F.col("page") == F.col("on")) & (F.col("mcid") == F.col("number")))
     return both.select(F.col("file").cast("bigint").alias("doc_id"), "page", "mcid", F.col("roles").alias("path"), "text")
 
@@ -90,11 +95,9 @@ s AS (SELECT doc_id, page, ord, row_number() OVER (PARTITION BY doc_id ORDER BY
 SELECT s.doc_id, page, 'Square' AS kind, ord::VARCHAR AS contents FROM s JOIN k USING (doc_id) WHERE NOT (doc_id % 2 = 1 AND others = 0 AND back = 1) UNION ALL SELECT doc_id, 1, 'Text', others || ' without a box' FROM k WHERE others > 0 AND doc_id % 2 = 0""")
 def pdf_notes(spark, sf_dir):
     """Annotations of copies with found things drawn in; what a later revision freed doesn't come back."""
-    files = _files(spark, sf_dir, _noted)
+    schema = "doc_id bigint, page bigint, kind string, contents string"
 
-    def read(batches):
-        for batch in batches:
-            rows = [{"doc_id": int(p)} | a for p, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for a in pdf.annotations(pdf.Pdf(c.as_py()))]
-            yield pdf._batch(rows, "doc_id bigint, page bigint, kind string, contents string")
+    def notes(path, content):
+        return ({"doc_id": int(path)} | a for a in pdf.annotations(pdf.Pdf(content)))
 
-    return files.mapInArrow(read, "doc_id bigint, page bigint, kind string, contents string")
+    return _read(spark, sf_dir, _noted, lambda files: pdf.each(files, notes, schema), schema)
