@@ -45,7 +45,7 @@ def _noted(doc: int, text: str | None) -> bytes:
 
 
 #: Bytes of the documents' table for one task: files are long work, and a row group of them can't be split.
-TASK_BYTES = 4 << 20
+TASK_BYTES = 2 << 20
 
 
 def _read(spark, sf_dir, made, read, schema):
