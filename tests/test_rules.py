@@ -91,3 +91,24 @@ def test_empty_tables(spark):
     assert L.blocks(empty, "doc_id").count() == 0
     assert L.body_em(empty, "doc_id", "ord").count() == 0
     assert P.markdown(empty.withColumn("level", F.lit(None).cast("int")), "doc_id", "ord").count() == 0
+
+
+def test_pages_over_many_batches(spark):
+    """Pages that end within a batch, at its edge and go on over several; null pages; no frame for each page."""
+    from quire.operators import pages
+
+    sizes = {1: 3, 2: 4, 3: 40, 4: 1, None: 9, 5: 7}
+    rows = [(p, k, 0, 1000 * k, 100, 1000 * k + 1000, None, k % 4 == 0) for p, n in sizes.items() for k in range(n)]
+    lines = spark.createDataFrame(rows, "p long, ord long, x0 long, y0 long, x1 long, y1 long, heading int, marker boolean").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        units = pages.units(lines, "p")
+        assert "FlatMapGroupsInPandas" not in units._jdf.queryExecution().toString()
+        assert {(r["p"], r["ord"]): r["unit"] for r in units.collect()} == {(p, k): k // 4 for p, n in sizes.items() for k in range(n)}
+        read = pages.reading_order(lines, "p").collect()
+        assert sorted((str(r["p"]), r["ord"], r["read"], r["region"]) for r in read) == sorted((str(p), k, k, None) for p, n in sizes.items() for k in range(n))
+        boxes = pages.touching(lines.withColumn("id", F.col("ord") + 5), "p")
+        assert {r["cluster"] for r in boxes.collect()} == {5} and boxes.count() == len(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert pages.units(lines.limit(0), "p").count() == 0
