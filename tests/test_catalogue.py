@@ -44,3 +44,15 @@ def test_tree_of_odd_nodes(spark):
     got = sorted(map(str, (tuple(r) for r in trees.paths(spark.createDataFrame(rows, "id long, parent long, role string"), 3).collect())))
     chain = [(100 + k, k + 1, "b" + "/z" * (k + 1)) for k in range(64)]
     assert got == sorted(map(str, [(1, 0, "a"), (2, 0, "b"), (3, 1, "a/c"), (3, 1, "a/d"), (4, 2, "a/c/e"), (4, 2, "a/d/e"), (9, 1, None), *chain]))
+
+
+def test_slots_are_dealt_once_by_size(spark, monkeypatch):
+    from quire.plans import views
+
+    name = "table_slots"
+    before = catalogue.QUERIES[name](spark, FOLDER)
+    assert before._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    monkeypatch.setattr(views, "CELL_BYTES", 1 << 12)
+    finer = catalogue.QUERIES[name](spark, FOLDER)
+    assert finer.rdd.getNumPartitions() > 2 * before.rdd.getNumPartitions()
+    assert sorted(map(tuple, finer.collect())) == sorted(map(tuple, before.collect()))
